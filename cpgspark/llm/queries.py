@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from .count_tokens import op7_token_counts
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .shard import op9_shard
 from .tiff import op1_media_tiff
 from .warc import op6_warc
 
 QUERIES = {
     "op1_media_tiff": op1_media_tiff,
+    "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op9_shard": op9_shard,
 }
 
 SQL = {
+    "op5_decontaminate": OP5_SQL,
     "op6_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
