@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .count_tokens import op7_token_counts
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .jaccard import op2_jaccard_join
 from .shard import op9_shard
 from .tiff import op1_media_tiff
 from .warc import op6_warc
 
 QUERIES = {
     "op1_media_tiff": op1_media_tiff,
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
