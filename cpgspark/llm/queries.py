@@ -5,6 +5,7 @@ from __future__ import annotations
 from .count_tokens import op7_token_counts
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .jaccard import op2_jaccard_join
+from .language_model import op8_context_tree
 from .shard import op9_shard
 from .tiff import op1_media_tiff
 from .warc import op6_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
+    "op8_context_tree": op8_context_tree,
     "op9_shard": op9_shard,
 }
 
