@@ -316,7 +316,7 @@ def _part_regions(threshold: Threshold):
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, p: int = 9, q: int = 10) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; links at similarity p/q of `words`-word shingles.
+    """doc_id, tkey (digest of the text), n_shingles and component_id of every row; links at similarity p/q of `words`-word shingles.
 
     Null and empty texts, and texts of white space, have no shingles and no
     links; their component is their own id.  Rows of equal id and text repeat
@@ -374,13 +374,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     # classes of one row and without links are their own component: their rows need no join
     lone = classes.filter("rows > 1").join(linked.select("f1", "f2"), ["f1", "f2"], "left_anti").select("f1", "f2", F.col("least").alias("component_id"))
     of = materialize(linked.unionByName(lone), "classes")
-    plain = docs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("f1")).alias("f1"), F.when(F.col("n_shingles") > 0, F.col("f2")).alias("f2"))
+    plain = docs.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("f1")).alias("f1"), F.when(F.col("n_shingles") > 0, F.col("f2")).alias("f2"))
     out = plain.join(of.withColumnsRenamed({"f1": "g1", "f2": "g2"}), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("g1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("g1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All documents, 3-word shingles, similarity 0.9."""
     from .common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("tkey")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .chat import op3_chat
 from .count_tokens import op7_token_counts
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .jaccard import op2_jaccard_join
 from .language_model import op8_context_tree
+from .quality import op10_quality
 from .shard import op9_shard
 from .tiff import op1_media_tiff
 from .warc import op6_warc
@@ -13,11 +16,14 @@ from .warc import op6_warc
 QUERIES = {
     "op1_media_tiff": op1_media_tiff,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_chat": op3_chat,
+    "op4_bpe": op4_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_context_tree": op8_context_tree,
     "op9_shard": op9_shard,
+    "op10_quality": op10_quality,
 }
 
 SQL = {
