@@ -7,7 +7,7 @@ and returns a table with the columns of documents, the last one with tokens.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cpgspark.llm.bpe import encode_column
@@ -19,7 +19,9 @@ from cpgspark.llm.quality import learn, score_quality
 #: Keys of documents (about 50 bytes each) up to this number are broadcast, more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
-_TKEY = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+def _tkey() -> Column:
+    """Digest of a row's text."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
 def _side(keys: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     # a null id isn't the smallest of a group that has ids
     stay = stay.filter("not (doc_id is null and component_id is not null)")
     keys = materialize(stay.groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_s")), "keys")
-    kept = docs.withColumn("_t", _TKEY).join(_side(keys), (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    kept = docs.withColumn("_t", _tkey()).join(_side(keys), (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     once = kept.filter("_n = 1 or _s = 0").select(docs.columns)
     again = kept.filter("_n > 1 and _s > 0").dropDuplicates(["doc_id", "_t"]).select(docs.columns)
     return once.unionByName(again)
@@ -54,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without a passage of ten words of a benchmark item."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "contaminated")
-    return docs.withColumn("_t", _TKEY).join(_side(bad), (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").drop("_t")
+    return docs.withColumn("_t", _tkey()).join(_side(bad), (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").drop("_t")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
