@@ -12,7 +12,7 @@ is at most (q-p)/(q+p) of the sizes' sum.
    n - ceil(n*p/q) of its shingles, so the window in which a boundary document
    is replicated is its first n - ceil(n*p/q) + 1 pivots: linked documents meet
    in the region of the first pivot they share.
-2. In a region, sizes too far apart are parted, as are vectors of 256 counts of
+2. In a region, sizes too far apart are parted, as are vectors of 128 counts of
    shingles by hash whose city-block distance - never more than the difference
    of the sets - exceeds the bound.
 3. What is left is joined into connected regions, closed under links.  Each
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -45,9 +45,11 @@ from .components import components
 from .textkernel import _STEP, mix, row_blocks, shingle_sets, text_buffers
 
 #: Bytes of text that one kernel call takes; bins of a set's counts.
-BLOCK_BYTES, BINS = 2 << 20, 256
+BLOCK_BYTES, BINS = 2 << 20, 128
 #: Documents of a region in one task; documents compared at once without a further pivot.
 TASK_DOCS, LEAF = 2048, 256
+#: Classes with a possible partner (about 60 bytes each) up to this number are broadcast to find their texts, more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 #: Shingles are counted in 2**20 bins by hash; the table is 8 MB for any corpus.
 FREQUENCY_BITS, CHUNKS = 20, 16
 _U = np.uint64
@@ -79,8 +81,8 @@ def _fingerprint(s: np.ndarray) -> np.ndarray:
 
 
 def _counts(s: np.ndarray) -> bytes:
-    """How many of a set's shingles have each value of 8 bits of their hash, up to 65,535."""
-    return np.minimum(np.bincount((mix(s) >> _U(56)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
+    """How many of a set's shingles have each value of 7 bits of their hash, up to 255 (which never adds to a distance)."""
+    return np.minimum(np.bincount((mix(s) >> _U(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -270,7 +272,7 @@ def _part_regions(threshold: Threshold):
         col = lambda c: rows.column(c).to_numpy()
         f, n, block, x, y = col("f1"), col("n_shingles"), col("block"), col("x"), col("y")
         key = np.stack([col("region"), x.astype(np.int64), y.astype(np.int64)])
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u2").reshape(len(f), BINS)
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(len(f), BINS)
         start = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0).any(axis=0))))
         size = np.diff(np.append(start, len(f)))
         a, b = [], []
@@ -332,12 +334,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("tkey", "doc_id")).alias("one"))
     classes = materialize(classes, "classes")
 
-    pairs = named.select("f1", F.explode("regions").alias("region"))
-    met = pairs.groupBy("region").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo < hi").select("region")
-    shared = pairs.join(met, "region").distinct()
-    seen = named.groupBy("f1").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
+    # one row per class before its regions are listed; rows without a neighbour in the region whose size fits are out
+    seen = materialize(named.groupBy("f1").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("regions").alias("regions")), "seen")
+    w = Window.partitionBy("region").orderBy("n_shingles", "f1")
+    n, behind, ahead = F.col("n_shingles"), F.lag("n_shingles").over(w), F.lead("n_shingles").over(w)
+    fits = F.coalesce(ahead * p <= n * q, F.lit(False)) | F.coalesce(n * p <= behind * q, F.lit(False))
+    shared = seen.select("f1", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("regions").alias("region")).withColumn("fits", fits).filter("fits").select("f1", "region")
     shared = materialize(shared, "shared")
-    dealt = _deal(shared, "region", shared.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "f1").join(seen, "f1")
+    dealt = _deal(shared, "region", shared.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "f1").join(seen.drop("regions"), "f1")
     dealt = dealt.select("region", "x", "y", "f1", "block", "n_shingles", "counts").repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "n_shingles", "f1")
     region = materialize(components(dealt.mapInArrow(_part_regions(threshold), "a long, b long"), "a", "b"), "regions")
 
@@ -345,7 +349,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     wanted = classes.join(region, classes.f1 == region.node).select(F.col("one.tkey").alias("k"), F.col("one.doc_id").alias("d"), "f1", "f2", "component")
     body = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("t"), F.unhex(F.md5(body.cast("binary"))).alias("tkey"))
-    brought = texts.join(wanted, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("component", "f1", "f2", "t")
+    wanted = materialize(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    brought = texts.join(F.broadcast(wanted) if few else wanted, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("component", "f1", "f2", "t")
     dealt = _deal(brought, "component", region.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "f1").select("component", "x", "y", "f1", "f2", "block", "t")
 
     def join(table: pa.Table) -> pa.Table:
