@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id
 from .language_model import gram_keys
-from .textkernel import mix, row_blocks, text_buffers
+from .textkernel import give_back, mix, row_blocks, text_buffers
 
-BITS, PIECE = 17, 2 << 20
+BITS, PIECE = 17, 512 << 10
 #: The most rows that the linear model is fitted on; rows are chosen by a hash of the id.
 FIT_ROWS = 8192
 #: Labels up to this number (16 bytes each) are broadcast, more are joined by a shuffle.
@@ -168,14 +168,16 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, doc_id: str = "doc_id",
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The `keep` columns with score and predicted (by these or other names), for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 1 MB
+    at = keep.index(text) if text in keep else len(keep)  # the text goes to Python once
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.fromiter(map(shared.value.score, trigram_sets(b.column(b.num_columns - 1))), np.float64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names[:-1], *names])
+            s = np.fromiter(map(shared.value.score, trigram_sets(b.column(at))), np.float64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *names])
+        give_back()
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(score, ", ".join([*kept, f"`{names[0]}` double, `{names[1]}` int"]))
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(score, ", ".join([*kept, f"`{names[0]}` double, `{names[1]}` int"]))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

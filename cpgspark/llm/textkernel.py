@@ -12,6 +12,10 @@ invertible modulo 2**64), then mixed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +25,14 @@ _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
+def give_back() -> None:
+    """Returns memory that a finished task no longer uses: workers stay alive for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
