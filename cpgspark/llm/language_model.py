@@ -36,6 +36,8 @@ from .textkernel import mix, row_blocks, text_buffers, words_by_row
 
 #: Context bytes; bytes of text in a block and in one kernel call.
 DEPTH, BLOCK, PIECE = 5, 24 << 20, 1 << 20
+#: Keys that a block gathers before it merges them.
+MERGE_AT = 1_000_000
 _U = np.uint64
 _END = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)  # the end as a word
 GRAM, WORD = 0, 1
@@ -247,6 +249,9 @@ def _ask(shards: int):
             other = np.unique(keys[~train]) if not train.all() else keys[:0]
             parts[kind][0].extend((k, other))
             parts[kind][1].extend((c.astype(np.int64), np.zeros(len(other), np.int64)))
+            if sum(map(len, parts[kind][0][1:])) > MERGE_AT:  # what is merged already doesn't count
+                k, c = _merge(*parts[kind])
+                parts[kind] = [k], [c]
 
         for i, j, offsets, raw in _pieces(table):
             train = ~held[i:j]
