@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import row_blocks, text_buffers
+from .textkernel import give_back, row_blocks, text_buffers
 
-BLOCK_BYTES = 16 << 20
-#: Words and pieces remembered by a worker between blocks; then it starts anew.
-REMEMBERED = 500_000
+BLOCK_BYTES = 3 << 20
+#: Words and pieces remembered by a worker between blocks; then it starts anew, as with each task.
+REMEMBERED = 120_000
 
 _GAP = re.compile("[ \t\r\n]+")
 _HIGH = re.compile("[\u0300-\U0010ffff]")
@@ -274,6 +274,9 @@ def encode_column(df: DataFrame, text: str, path: str, keep: tuple[str, ...] = (
                     ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(g[0] for g in got)]).astype(np.int32)), pa.array(flat))
                 decoded = pa.array([sha(g[2]) if digests else g[2] for g in got], pa.string())
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:-1]), pa.array([g[0] for g in got], pa.int64()), ids, decoded], names=[*b.schema.names[:-1], "n_tokens", *names])
+                del got
+        bpe.memory.clear()
+        give_back()
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
     kinds = ["string", "string"] if digests else ["array<int>", "string"]
