@@ -321,6 +321,12 @@ def _(spark, d):
     return site_tests.fisher_test(s, TREATED, CONTROLS, site_tests.TestConfig(test="fisher", unite="intersect")).select("chrom", *big("pos"), *r6("pvalue"))
 
 
+@query("site_fisher_full")
+def _(spark, d):
+    """All sites; site_fisher is the prefix of them that its SQL names."""
+    return site_tests.fisher_test(store(spark, d), TREATED, CONTROLS, site_tests.TestConfig(test="fisher", unite="intersect"))
+
+
 NEWCOMBE = """nw AS (SELECT chrom, pos, ma/na AS p1, mb/nb AS p2, na, nb, 1.959963984540054 AS z FROM grp WHERE ns=6),
 wl AS (SELECT *, (p1+z*z/(2*na)-z*sqrt(p1*(1-p1)/na+z*z/(4*na*na)))/(1+z*z/na) AS l1, (p1+z*z/(2*na)+z*sqrt(p1*(1-p1)/na+z*z/(4*na*na)))/(1+z*z/na) AS u1,
  (p2+z*z/(2*nb)-z*sqrt(p2*(1-p2)/nb+z*z/(4*nb*nb)))/(1+z*z/nb) AS l2, (p2+z*z/(2*nb)+z*sqrt(p2*(1-p2)/nb+z*z/(4*nb*nb)))/(1+z*z/nb) AS u2 FROM nw),
