@@ -22,21 +22,21 @@ def _bucketed(rows: DataFrame, p: str) -> DataFrame:
     return rows.withColumn("_b", F.least(F.lit(BUCKETS - 1), F.floor(F.pow(F.col(p), 0.25) * BUCKETS)).cast("int"))
 
 
-def ranked(rows: DataFrame, p: str, rank: str = "rank") -> DataFrame:
-    """Adds the global ascending rank (1 on; of equal values the highest) and n; rows without p must be filtered out before."""
+def ranked(rows: DataFrame, p: str, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the ascending rank (1 on; of equal values the highest) and n, of all rows or in each group `by`; rows without p must be filtered out before."""
     b = _bucketed(rows, p)
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    offset = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_off"), F.sum("_c").over(Window.partitionBy()).alias("n_tests"))  # at most BUCKETS rows
-    w = Window.partitionBy("_b").orderBy(p)
-    return b.join(F.broadcast(offset), "_b").withColumn(rank, F.count(F.lit(1)).over(w) + F.col("_off")).drop("_off")
+    counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    offset = counts.select(*by, "_b", (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_off"), F.sum("_c").over(Window.partitionBy(*by)).alias("n_tests"))  # at most BUCKETS rows a group
+    w = Window.partitionBy(*by, "_b").orderBy(p)
+    return b.join(F.broadcast(offset), [*by, "_b"]).withColumn(rank, F.count(F.lit(1)).over(w) + F.col("_off")).drop("_off")
 
 
-def suffix_min(rows: DataFrame, value: str, order: str, out: str) -> DataFrame:
+def suffix_min(rows: DataFrame, value: str, order: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds the minimum of `value` over this row and all rows of larger `order`; rows from `ranked` (with _b)."""
-    w = Window.partitionBy("_b").orderBy(F.desc(order))
-    least = rows.groupBy("_b").agg(F.min(value).alias("_min"))
-    above = least.select("_b", F.min("_min").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))  # at most BUCKETS rows
-    return rows.join(F.broadcast(above), "_b").withColumn(out, F.least(F.min(value).over(w), "_above")).drop("_above")
+    w = Window.partitionBy(*by, "_b").orderBy(F.desc(order))
+    least = rows.groupBy(*by, "_b").agg(F.min(value).alias("_min"))
+    above = least.select(*by, "_b", F.min("_min").over(Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))  # at most BUCKETS rows a group
+    return rows.join(F.broadcast(above), [*by, "_b"]).withColumn(out, F.least(F.min(value).over(w), "_above")).drop("_above")
 
 
 def storey_pi0(rows: DataFrame, p: str = "pvalue", lam: float = 0.5) -> float:
@@ -44,19 +44,23 @@ def storey_pi0(rows: DataFrame, p: str = "pvalue", lam: float = 0.5) -> float:
     return min(1.0, max(1.0 / max(r["n"], 1), r["k"] / ((1 - lam) * max(r["n"], 1))))
 
 
-def _step_up(rows: DataFrame, p: str, q: str, factor) -> DataFrame:
-    r = ranked(rows, p).withColumn("_raw", F.col(p) * F.col("n_tests") / F.col("rank") * factor)
-    return suffix_min(r, "_raw", p, "_q").withColumn(q, F.least(F.lit(1.0), "_q")).drop("_raw", "_q", "rank", "_b", "n_tests")
+def _step_up(rows: DataFrame, p: str, q: str, factor, by: tuple[str, ...] = ()) -> DataFrame:
+    r = ranked(rows, p, by=by).withColumn("_raw", F.col(p) * F.col("n_tests") / F.col("rank") * factor)
+    return suffix_min(r, "_raw", p, "_q", by).withColumn(q, F.least(F.lit(1.0), "_q")).drop("_raw", "_q", "rank", "_b", "n_tests")
 
 
-def adjust(rows: DataFrame, method: str = "fdr_bh", p: str = "pvalue", q: str = "qvalue", reject: str = "reject", alpha: float = 0.05) -> DataFrame:
+def adjust(rows: DataFrame, method: str = "fdr_bh", p: str = "pvalue", q: str = "qvalue", reject: str = "reject", alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds q values and rejections; rows without a p value don't count, and get null and false.
 
+    With `by`, each group is a family of its own (fdr_bh only).
+
     Two-stage methods: the number of true nulls is estimated from a first
     step-up at alpha (or alpha / (1 + alpha)), and scales the second.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
+    if by and method != "fdr_bh":
+        raise ValueError("families are for fdr_bh only")
     finite = F.col(p).isNotNull() & ~F.isnan(p)
     some, none = rows.filter(finite), rows.filter(~finite).withColumns({q: F.lit(None).cast("double"), reject: F.lit(False)})
     if method == "fdr_by":
@@ -73,7 +77,7 @@ def adjust(rows: DataFrame, method: str = "fdr_bh", p: str = "pvalue", q: str =
         stretch = 1.0 if method == "fdr_tsbh" else 1 + alpha
         done = _step_up(some, p, q, F.lit((share if 0 < r["r"] < r["n"] else 1.0) * stretch))
     else:
-        done = _step_up(some, p, q, F.lit(1.0))
+        done = _step_up(some, p, q, F.lit(1.0), by)
     return done.withColumn(reject, F.col(q) <= alpha).select(*rows.columns, q, reject).unionByName(none.select(*rows.columns, q, reject))
 
 
@@ -106,7 +110,7 @@ def is_mirror(chosen: list[str], case: list[str], control: list[str]) -> bool:
     return set(chosen) in (set(case), set(control))
 
 
-def permuted_statistics(store: DataFrame, case: list[str], control: list[str], n_perm: int, seed: int = 42, strata: dict[str, str] | None = None, unite: str = "union") -> DataFrame:
+def permuted_statistics(store: DataFrame, case: list[str], control: list[str], n_perm: int, seed: int = 42, strata: dict[str, str] | None = None, unite: str = "union", dispersion: str = "site") -> DataFrame:
     """(perm, chrom, pos, lr, ...) of every permutation in one job: the permutation is a column of the grouping."""
     from .aggregate import group_sums
     from .site_tests import lr_statistic
@@ -118,7 +122,12 @@ def permuted_statistics(store: DataFrame, case: list[str], control: list[str], n
     g = spread.groupBy("perm", "chrom", "pos").agg(*group_sums(["case"], "case"), *group_sums(["ctrl"], "ctrl"), F.count(F.lit(1)).alias("n_samples"))
     if unite == "intersect":
         g = g.filter(F.col("n_samples") == len(case) + len(control))
-    return lr_statistic(g.drop("n_samples"), "site")
+    g = g.drop("n_samples")
+    if dispersion == "site":
+        return lr_statistic(g, dispersion)
+    # the other modes pool chromosomes, each permutation's own
+    s = lr_statistic(g.withColumn("chrom", F.concat_ws("|", "perm", "chrom")), dispersion)
+    return s.withColumn("chrom", F.split("chrom", r"\|", 2)[1])
 
 
 def max_t_pvalues(observed: DataFrame, null_best: DataFrame, stat: str = "lr") -> DataFrame:

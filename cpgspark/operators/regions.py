@@ -111,22 +111,27 @@ def tile_regions(store: DataFrame, case: list[str], control: list[str], size: in
     from .site_tests import reference_p
 
     s = tile_statistics(store, case, control, size, min_cpgs, **kw)
-    s = adjust(s.withColumn("pvalue", reference_p(F.col("lr"), F.col("phi"), F.col("df_phi"), reference)))
+    return call_tiles(s.withColumn("pvalue", reference_p(F.col("lr"), F.col("phi"), F.col("df_phi"), reference)), alpha, min_abs_diff, merge)
+
+
+def call_tiles(tested: DataFrame, alpha: float = 0.05, min_abs_diff: float = 0.1, merge: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Regions of tested tiles (chrom, start, end, n_cpgs, meth_diff, pvalue), each group `by` on its own."""
+    s = adjust(tested, by=by)
     hit = s.filter((F.col("qvalue") < alpha) & (F.abs("meth_diff") >= min_abs_diff)).withColumn("dmr_type", F.when(F.col("meth_diff") >= 0, "hyper").otherwise("hypo"))
-    return merge_adjacent_tiles(hit) if merge else hit
+    return merge_adjacent_tiles(hit, by=by) if merge else hit
 
 
-def merge_adjacent_tiles(regions: DataFrame, combine: bool = True) -> DataFrame:
+def merge_adjacent_tiles(regions: DataFrame, combine: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Touching tiles of one direction become one: sites add up, effects are means of the tiles, p is an unsigned Stouffer."""
-    w = Window.partitionBy("chrom").orderBy("start")
+    w = Window.partitionBy(*by, "chrom").orderBy("start")
     s = regions.withColumns({"_pe": F.lag("end").over(w), "_pt": F.lag("dmr_type").over(w)})
     s = s.withColumn("_id", F.sum(F.when(F.col("_pe").isNull() | (F.col("start") > F.col("_pe")) | (F.col("dmr_type") != F.col("_pt")), 1).otherwise(0)).over(w))
     aggs = [F.min("start").alias("start"), F.max("end").alias("end"), F.first("dmr_type").alias("dmr_type"), F.sum("n_cpgs").alias("n_cpgs"), F.avg("meth_diff").alias("meth_diff"), F.count(F.lit(1)).alias("n_tiles")]
     if not combine:
-        return s.groupBy("chrom", "_id").agg(*aggs).drop("_id")
+        return s.groupBy(*by, "chrom", "_id").agg(*aggs).drop("_id")
     s = s.withColumn("_z", stouffer_columns(diff="meth_diff", signed=False))
-    g = s.groupBy("chrom", "_id").agg(*aggs, F.sum("_z").alias("_zs"), F.count("_z").alias("_zn")).withColumn("pvalue", stouffer_p(F.col("_zs"), F.col("_zn")))
-    return adjust(g.drop("_id", "_zs", "_zn"))
+    g = s.groupBy(*by, "chrom", "_id").agg(*aggs, F.sum("_z").alias("_zs"), F.count("_z").alias("_zn")).withColumn("pvalue", stouffer_p(F.col("_zs"), F.col("_zn")))
+    return adjust(g.drop("_id", "_zs", "_zn"), by=by)
 
 
 def variance_density(sites: DataFrame, size: int = 1000, min_cpgs: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cpgspark.operators import permute, regions, site_tests
+from cpgspark.operators import fdr, permute, regions, site_tests
 from cpgspark.plans.queries import ALL
 from cpgspark.sources import readers, results
 from cpgspark.sources.store import CONTROLS, TREATED, lineitem_store
@@ -52,3 +52,19 @@ def test_commands_need_replicates():
     a = parser().parse_args(["dmc", "store", "out", "--case", "a", "--control", "b"])
     with pytest.raises(ValueError):
         check_groups(a.case, a.control, a.single)
+
+
+def test_null_tiles_are_the_region_caller_on_each_shuffle(spark, data):
+    s = spark.createDataFrame(lineitem_store(spark, data).filter("chrom = 'chr1'").toPandas()).coalesce(1)
+    how = {"size": 500, "min_cpgs": 3, "alpha": 0.9, "min_abs_diff": 0.01}
+    shuffles = [c for c in (fdr.permutation(i, TREATED, CONTROLS) for i in range(2)) if not fdr.is_mirror(c, TREATED, CONTROLS)]
+    calls = [regions.tile_regions(s, c, [x for x in ALL if x not in c], **how).toPandas() for c in shuffles]
+    nulls, used = permute.null_tile_regions(s, TREATED, CONTROLS, n_perm=2, **how)
+    got = nulls.toPandas()
+    assert used == len(shuffles) and got.n_tiles.max() > 1
+    key = lambda d: sorted((r.chrom, r.start, r.end, r.n_cpgs, round(r.pvalue, 9), round(r.qvalue, 9)) for r in d.itertuples())
+    assert key(got) == sorted(x for c in calls for x in key(c))
+    best = np.array([c.pvalue.min() for c in calls if len(c)])
+    seen = spark.createDataFrame([(float(p),) for p in (0.0, best.min(), best.max(), 1.0)], "pvalue double").coalesce(1)
+    out = permute.tile_fdr(s, TREATED, CONTROLS, seen, n_perm=2, **how).toPandas()
+    assert out.p_empirical.tolist() == pytest.approx([((best <= p + 1e-12).sum() + 1) / (used + 1) for p in out.pvalue])
