@@ -72,10 +72,12 @@ def feature_table(genes: DataFrame, exons: DataFrame, utr_rows: DataFrame | None
 
 def check_names(sites: DataFrame, features: DataFrame) -> None:
     """Raises where no chromosome is named alike on both sides."""
-    a = {r[0] for r in sites.select("chrom").distinct().limit(10_000).collect()}
-    b = {r[0] for r in features.select("chrom").distinct().limit(10_000).collect()}
-    if a and b and not a & b:
-        raise ValueError(f"chromosomes are named differently: {sorted(a)[:3]} and {sorted(b)[:3]}")
+    a, b = (x.select("chrom").filter("chrom is not null").distinct() for x in (sites, features))
+    if a.join(b, "chrom", "left_semi").limit(1).collect():
+        return
+    some, others = (sorted(r[0] for r in x.limit(3).collect()) for x in (a, b))
+    if some and others:
+        raise ValueError(f"chromosomes are named differently: {some} and {others}")
 
 
 def as_intervals(rows: DataFrame) -> DataFrame:
@@ -87,7 +89,9 @@ def annotate_features(rows: DataFrame, features: DataFrame, genes: DataFrame) ->
     """For distinct (chrom, start, end): the best feature and its gene, all features and genes, TSS distance (upstream negative) and nearest TSS.
 
     Best by priority, then gene id; nearest TSS on the left at equal distance.
+    Raises where rows and features have no chromosome name in common.
     """
+    check_names(rows, features)
     r = as_intervals(rows).select("chrom", "start", "end").distinct()
     ranks = F.create_map(*(x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))))
     f = features.select(F.col("chrom").alias("f_chrom"), "f_start", "f_end", "gene_id", "feature").withColumn("rank", ranks[F.col("feature")])

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cpgspark.operators import fdr, glm, intervals, prep, qc, reads, regions, segment, site_tests, smooth
+from cpgspark.operators import annotate, fdr, glm, intervals, prep, qc, reads, regions, segment, site_tests, smooth
 from cpgspark.session import Cohort
 from cpgspark.sources import readers, store, writers
 
@@ -202,3 +202,13 @@ def test_stream_sums(spark, tmp_path):
     q = running_sums(stream_coverage(spark, str(src), "s")).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r["pos"], r["N_meth"], r["coverage"]) for r in spark.table("sums").collect()] == [(100, 3, 8)]
+
+
+def test_names_are_checked_over_all_contigs(spark):
+    names = spark.range(12_000).select(F.concat(F.lit("a"), "id").alias("chrom"))
+    one = spark.createDataFrame([("a11999",)], "chrom string")
+    annotate.check_names(names, one.unionByName(spark.range(12_000).select(F.concat(F.lit("b"), "id").alias("chrom"))))
+    sites = spark.createDataFrame([("1", 5)], "chrom string, pos int")
+    genes = spark.createDataFrame([("chr1", 0, 10, "+", "g", "protein_coding")], "chrom string, start int, end int, strand string, gene_id string, gene_type string")
+    with pytest.raises(ValueError, match="named differently"):
+        annotate.annotate_features(sites, annotate.promoters(genes), genes)
