@@ -81,6 +81,14 @@ def sample_correlation(store: DataFrame, samples: list[str], method: str = "spea
     return one.select(rows.alias("r"), F.col("n").alias("n_sites")).select("r.*", "n_sites")
 
 
+def correlation_matrix(pairs: DataFrame, samples: list[str]) -> DataFrame:
+    """Pairs of sample_correlation as a whole matrix: a row and a column for each sample, in the order given, with 1 on the diagonal."""
+    both = pairs.select("sample_a", "sample_b", "corr").unionByName(pairs.select(F.col("sample_b").alias("sample_a"), F.col("sample_a").alias("sample_b"), "corr"))
+    both = both.withColumn("corr", F.when(F.col("sample_a") == F.col("sample_b"), 1.0).otherwise(F.col("corr")))
+    wide = both.groupBy(F.col("sample_a").alias("sample")).pivot("sample_b", samples).agg(F.max("corr"))
+    return wide.orderBy(F.array_position(F.lit(samples), F.col("sample")))
+
+
 def join_metrics(obs: DataFrame, *metrics: DataFrame) -> DataFrame:
     """Metrics by sample joined to the sample table; nothing of it is lost."""
     out = obs

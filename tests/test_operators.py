@@ -212,3 +212,10 @@ def test_names_are_checked_over_all_contigs(spark):
     genes = spark.createDataFrame([("chr1", 0, 10, "+", "g", "protein_coding")], "chrom string, start int, end int, strand string, gene_id string, gene_type string")
     with pytest.raises(ValueError, match="named differently"):
         annotate.annotate_features(sites, annotate.promoters(genes), genes)
+
+
+def test_correlation_matrix_is_whole_and_in_order(spark):
+    pairs = spark.createDataFrame([("b", "b", 1.0), ("b", "a", 0.25), ("b", "c", None), ("a", "a", None), ("a", "c", -0.5), ("c", "c", 1.0)], "sample_a string, sample_b string, corr double")
+    m = qc.correlation_matrix(pairs, ["b", "a", "c"])
+    assert m.columns == ["sample", "b", "a", "c"]
+    assert [tuple(r) for r in m.collect()] == [("b", 1.0, 0.25, None), ("a", 0.25, 1.0, -0.5), ("c", None, -0.5, 1.0)]
