@@ -10,6 +10,7 @@ say; everything downstream treats them as any other p value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,28 @@ def store(spark: SparkSession, d: str) -> DataFrame:
     return lineitem_store(spark, d)
 
 
+#: Set while a query makes its genes, regions and clock sites of all parts, not only of those that its SQL names.
+WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def parts(spark: SparkSession, d: str, step: int) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p if WHOLE.get() else p.filter(f"p_partkey % {step} = 0")
+
+
+def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        token = WHOLE.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            WHOLE.reset(token)
+
+    return run
+
+
 def genes(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 50 = 0")
+    p = parts(spark, d, 50)
     start = F.expr("(p_partkey div 5) * 100 + 37")
     return p.select(F.expr("concat('chr', (p_partkey div 50) % 5 + 1)").alias("chrom"), start.alias("start"), (start + 400 + F.col("p_size") * 40).alias("end"), F.expr("if(p_partkey % 100 = 0, '+', '-')").alias("strand"), F.expr("lpad(cast(p_partkey as string), 8, '0')").alias("gene_id"), F.expr("if(p_partkey % 150 = 0, 'lncRNA', 'protein_coding')").alias("gene_type"))
 
@@ -65,7 +86,7 @@ def exons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def beds(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 7 = 0")
+    p = parts(spark, d, 7)
     start = F.expr("(p_partkey div 5) * 100")
     return p.select(F.expr("concat('chr', p_partkey % 5 + 1)").alias("chrom"), start.alias("start"), (start + 50 + F.col("p_size") * 10).alias("end"), F.col("p_partkey").cast("string").alias("region_id"))
 
@@ -690,7 +711,7 @@ def _(spark, d):
 
 
 def _coords(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 9 = 0")
+    p = parts(spark, d, 9)
     return p.select(F.col("p_partkey").cast("string").alias("cpg_id"), F.expr("concat('chr', p_partkey % 5 + 1)").alias("chrom"), F.expr("int((p_partkey div 5) * 100 + (p_partkey % 7) * 13)").alias("pos"), ((F.col("p_size") - 25) / 1000).alias("coefficient"))
 
 
@@ -705,6 +726,7 @@ def _(spark, d):
 
 
 @query("deconvolve")
+@whole
 def _(spark, d):
     c = _coords(spark, d)
     ref = c.select("cpg_id", (F.pmod(F.xxhash64("cpg_id"), F.lit(100)) / 100).alias("cell_a"), (F.pmod(F.xxhash64("cpg_id", F.lit(1)), F.lit(100)) / 100).alias("cell_b"))
@@ -872,3 +894,9 @@ def _(spark, d):
 def _(spark, d):
     rows = [(float(x), n, float(qc.power(x, 30, n))) for x in np.arange(0.05, 0.35, 0.05) for n in (3, 5)]
     return spark.createDataFrame(rows, "diff double, n_per_group int, power double")
+
+
+# ---- of all parts -------------------------------------------------------------------
+
+for _name in ("query_regions", "filter_sites", "blacklist", "aggregate_regions", "merge_intervals", "diagnose_regions", "annotate_features", "annotate_islands", "annotation_counts", "categorical_shares", "numeric_by_annotation", "coannotation", "age_clock", "tss_metaplot", "gene_body_metaplot", "region_sizes", "set_overlaps", "region_matrix"):
+    query(f"{_name}_full")(whole(QUERIES[_name]))

@@ -32,3 +32,14 @@ def test_fisher_of_every_site_is_exact(spark, tmp_path):
     want = {(r["chrom"], r["pos"]): exact(r["m_case"], r["n_case"], r["m_ctrl"], r["n_ctrl"]) for r in aggregate.site_groups(lineitem_store(spark, d), TREATED, CONTROLS, "intersect").collect()}
     got = {(r["chrom"], r["pos"]): r["pvalue"] for r in QUERIES["site_fisher_full"](spark, d).collect()}
     assert max(p for _, p in got) > 4000 and len(got) == 6 and got == pytest.approx(want, abs=1e-9)
+
+
+def test_regions_and_clock_sites_of_all_parts(spark, tmp_path):
+    keys = [3, 150, 199, 200, 5000, 123_456]
+    d = tables(spark, tmp_path, keys)
+    place = {k: (k % 5, k // 5 * 100 + k % 7 * 13) for k in keys}
+    want = {(str(r), place[k][1]) for r in keys for k in keys if r % 5 == k % 5 and r // 5 * 100 <= place[k][1] < r // 5 * 100 + 50 + (1 + r % 50) * 10}
+    got = {(r["region_id"], r["pos"]) for r in QUERIES["query_regions_full"](spark, d).collect()}
+    assert got == want and len(want) > 1
+    assert QUERIES["region_sizes_full"](spark, d).count() == 6 and QUERIES["region_sizes"](spark, d).count() < 6
+    assert {r["n_sites"] for r in QUERIES["age_clock_full"](spark, d).collect()} == {6}
