@@ -432,7 +432,7 @@ def _(spark, d):
 @query("permutation_sites")
 def _(spark, d):
     s = store(spark, d)
-    return fdr.empirical_site_fdr(s, TREATED, CONTROLS, sites(spark, d), 10).select("chrom", "pos", "lr", "p_empirical", "q_empirical")
+    return fdr.empirical_site_fdr(s, TREATED, CONTROLS, sites(spark, d)).select("chrom", "pos", "lr", "p_empirical", "q_empirical")
 
 
 @query("region_count_ratio", with_(STORE, GROUPS, LR, SITES) + ", o AS (SELECT chrom, pos, p FROM sites WHERE p IS NOT NULL AND abs(d)>=0.1), n AS (SELECT p FROM sites WHERE p IS NOT NULL AND abs(d)<0.1), c AS (SELECT chrom, pos, p, (SELECT count(*) FROM n WHERE n.p<=o.p)/10.0/count(*) OVER (ORDER BY p) AS raw FROM o) SELECT chrom, pos, round(least(1.0, min(raw) OVER (ORDER BY p DESC)),6)+0.0 AS q_empirical FROM c")

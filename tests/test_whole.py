@@ -34,6 +34,15 @@ def test_fisher_of_every_site_is_exact(spark, tmp_path):
     assert max(p for _, p in got) > 4000 and len(got) == 6 and got == pytest.approx(want, abs=1e-9)
 
 
+def test_permuted_sites_use_the_default_number_of_shuffles(spark, monkeypatch, data):
+    from cpgspark.operators import fdr
+
+    seen = []
+    monkeypatch.setattr(fdr, "permuted_statistics", lambda store, case, control, n_perm, *a: seen.append(n_perm) or spark.createDataFrame([(i, 0.5) for i in range(n_perm)], "perm int, lr double"))
+    least = QUERIES["permutation_sites"](spark, data).agg(F.min("p_empirical")).first()[0]
+    assert seen == [100] and least == pytest.approx(1 / 101)
+
+
 def test_regions_and_clock_sites_of_all_parts(spark, tmp_path):
     keys = [3, 150, 199, 200, 5000, 123_456]
     d = tables(spark, tmp_path, keys)
