@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cpgspark.llm.bpe import encode_column
 from cpgspark.llm.common import crc_of_id, materialize, table
 from cpgspark.llm.decontaminate import decontaminate
-from cpgspark.llm.jaccard import near_duplicates
+from cpgspark.llm.jaccard import near_duplicate_groups
 from cpgspark.llm.quality import learn, score_quality
 
 #: Keys of documents (about 50 bytes each) up to this number are broadcast, more are joined by a shuffle.
@@ -38,13 +38,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 0.8 of 5-word shingles: that with the smallest id.
 
-    Texts without words are linked with nothing and stay.  Of rows equal in id
-    and text one stays.
+    A null id comes after all others, and of equal ids, null or not, the least
+    digest of the text decides.  Texts without words are linked with nothing and
+    stay.  Of rows equal in id and text one stays.
     """
-    groups = near_duplicates(docs, words=5, p=8)
-    stay = groups.filter("n_shingles = 0 or doc_id is null or doc_id = component_id")
-    # a null id isn't the smallest of a group that has ids
-    stay = stay.filter("not (doc_id is null and component_id is not null)")
+    groups = near_duplicate_groups(docs, words=5, p=8)
+    stay = groups.filter("n_shingles = 0 or least is null or (doc_id <=> least.doc_id and tkey = least.tkey)")
     keys = materialize(stay.groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_s")), "keys")
     kept = docs.withColumn("_t", _tkey()).join(_side(keys), (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     once = kept.filter("_n = 1 or _s = 0").select(docs.columns)

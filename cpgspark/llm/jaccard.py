@@ -318,20 +318,26 @@ def _part_regions(threshold: Threshold):
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, p: int = 9, q: int = 10) -> DataFrame:
+    """doc_id, tkey, n_shingles and component_id of every row; see near_duplicate_groups."""
+    return near_duplicate_groups(df, doc_id, text, words, p, q).drop("least")
+
+
+def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, p: int = 9, q: int = 10) -> DataFrame:
     """doc_id, tkey (digest of the text), n_shingles and component_id of every row; links at similarity p/q of `words`-word shingles.
 
     Null and empty texts, and texts of white space, have no shingles and no
     links; their component is their own id.  Rows of equal id and text repeat
     their result.  A row without an id links like others, but never names a
-    component; it has none if it only links with such rows.  Other columns are
-    ignored.
+    component; it has none if it only links with such rows.  `least` is the first row of the
+    component by (doc_id with nulls last, tkey), without ids too; null for a row
+    that is alone.  Other columns are ignored.
     """
     threshold = Threshold(p, q)
     levels = df.sparkSession.sparkContext.broadcast(frequency_levels(df, text, words))  # 1 MB
     docs = materialize(document_sets(df, doc_id, text, words, threshold, levels), "sets")
     named = docs.filter("n_shingles > 0")
     # classes of equal sets, each with one row whose text can be read again
-    classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("tkey", "doc_id")).alias("one"))
+    classes = named.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("first"))
     classes = materialize(classes, "classes")
 
     # one row per class before its regions are listed; rows without a neighbour in the region whose size fits are out
@@ -346,7 +352,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     region = materialize(components(dealt.mapInArrow(_part_regions(threshold), "a long, b long"), "a", "b"), "regions")
 
     # large regions are dealt out as pairs of blocks, small ones whole; each text is read once for its class
-    wanted = classes.join(region, classes.f1 == region.node).select(F.col("one.tkey").alias("k"), F.col("one.doc_id").alias("d"), "f1", "f2", "component")
+    wanted = classes.join(region, classes.f1 == region.node).select(F.col("first.tkey").alias("k"), F.col("first.doc_id").alias("d"), "f1", "f2", "component")
     body = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("t"), F.unhex(F.md5(body.cast("binary"))).alias("tkey"))
     wanted = materialize(wanted, "wanted")
@@ -374,15 +380,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     links = materialize(dealt.groupBy("component", "x", "y").applyInArrow(join, "a1 long, a2 long, b1 long, b2 long"), "links")
     name = lambda s: F.struct(F.col(f"{s}1").alias("f1"), F.col(f"{s}2").alias("f2"))
     found = components(links.select(name("a").alias("a"), name("b").alias("b")), "a", "b").select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), "component")
-    whole = found.join(classes.select("f1", "f2", "least"), ["f1", "f2"])
-    ends = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = whole.join(ends, "component").select("f1", "f2", "component_id")
+    whole = found.join(classes.select("f1", "f2", "first"), ["f1", "f2"])
+    ends = whole.groupBy("component").agg(F.min("first").alias("least"))
+    linked = whole.join(ends, "component").select("f1", "f2", "least")
     # classes of one row and without links are their own component: their rows need no join
-    lone = classes.filter("rows > 1").join(linked.select("f1", "f2"), ["f1", "f2"], "left_anti").select("f1", "f2", F.col("least").alias("component_id"))
+    lone = classes.filter("rows > 1").join(linked.select("f1", "f2"), ["f1", "f2"], "left_anti").select("f1", "f2", F.col("first").alias("least"))
     of = materialize(linked.unionByName(lone), "classes")
     plain = docs.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("f1")).alias("f1"), F.when(F.col("n_shingles") > 0, F.col("f2")).alias("f2"))
     out = plain.join(of.withColumnsRenamed({"f1": "g1", "f2": "g2"}), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
-    return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("g1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("g1").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "least")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

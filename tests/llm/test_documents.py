@@ -213,6 +213,16 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, data):
     assert got == [(1, False), (3, False), (3, False), (4, True)]
 
 
+def test_pipeline_keeps_one_of_a_group_without_ids_or_with_one_id(spark, data):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(None, a), (None, a + " x"), (None, a + " y"), (7, b), (7, b + " x"), (None, b + " y"), (None, c), (None, c), (None, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"][:1]) for r in corpus_pipeline.near_duplicate(spark, df, data).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a"), (7, "b"), (None, "c"), (None, "")], key=str)
+
+
 def test_no_operator_swallows_import_errors():
     folder = os.path.dirname(jaccard.__file__)
     for name in os.listdir(folder):
