@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .readers import read_bismark
-from .store import read_store, write_store
+from .readers import convert_sample, qualified
+from .store import read_store
 
 
 def _put(spark: SparkSession, path: str, value: dict) -> None:
@@ -55,12 +55,14 @@ class ResultStore:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chrom").parquet(f"{self.path}/rows")
 
 
-def ensure_converted(spark: SparkSession, obs: DataFrame, path: str, **options) -> DataFrame:
-    """The store of a sample sheet, converted anew only if files or options differ from the manifest's."""
-    paths = [r[0] for r in obs.select("path").orderBy("path").collect()]  # one per sample
-    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("at")).orderBy("path").collect()
-    wanted = {"files": [[f["path"], f["length"], f["at"]] for f in files], "options": {k: str(v) for k, v in sorted(options.items())}}
-    if _get(spark, f"{path}-manifest") != wanted:
-        write_store(read_bismark(spark, obs, **options), path)
-        _put(spark, f"{path}-manifest", wanted)
-    return read_store(spark, path)
+def ensure_converted(spark: SparkSession, obs: DataFrame, path: str, kind: str = "bismark", **options) -> DataFrame:
+    """The store of a sample sheet; a sample is converted anew only if its file or the options differ from its manifest's."""
+    for r in obs.select("sample_id", "path").orderBy("sample_id").collect():  # one per sample
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r["path"])
+        state = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+        wanted = {"file": [qualified(spark, r["path"]), state.getLen(), state.getModificationTime()], "format": kind, "options": {k: str(v) for k, v in sorted(options.items())}}
+        manifest = f"{path}-manifest/{r['sample_id']}"
+        if _get(spark, manifest) != wanted:
+            convert_sample(spark, r["path"], r["sample_id"], path, kind, **options)
+            _put(spark, manifest, wanted)
+    return read_store(spark, path).filter(F.col("sample").isin([r[0] for r in obs.select("sample_id").collect()]))

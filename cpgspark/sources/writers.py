@@ -33,7 +33,7 @@ def sites_bed(sites: DataFrame, alpha: float = 0.05, min_abs_diff: float = 0.0,
 def regions_bed(regions: DataFrame, q: str = "qvalue") -> DataFrame:
     rank = F.row_number().over(Window.orderBy("chrom", "start"))  # regions
     score = F.least(F.lit(1000), F.greatest(F.lit(0), (-100 * F.log10(F.greatest(F.col(q), F.lit(1e-300)))).cast("int")))
-    return regions.select("chrom", "start", "end", F.concat(F.lit("dmr_"), rank).alias("name"), F.coalesce(score, F.lit(0)).alias("score"), F.when(F.col("dmr_type") == "hyper", "+").when(F.col("dmr_type") == "hypo", "-").otherwise(".").alias("strand"))
+    return regions.select("chrom", "start", "end", F.concat(F.lit("dmr_"), rank).alias("name"), F.when(F.col(q).isNotNull(), score).otherwise(0).alias("score"), F.when(F.col("dmr_type") == "hyper", "+").when(F.col("dmr_type") == "hypo", "-").otherwise(".").alias("strand"))
 
 
 def flat(df: DataFrame) -> DataFrame:
