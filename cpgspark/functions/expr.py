@@ -13,7 +13,8 @@ def col(c: Column | str) -> Column:
 
 
 def clip(c: Column | str, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))
+    """Kept within bounds; null stays null."""
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi)))
 
 
 def prob(c: Column | str) -> Column:
@@ -26,10 +27,6 @@ def beta(meth: Column | str = "N_meth", cov: Column | str = "coverage") -> Colum
     return F.when(col(cov) > 0, col(meth) / col(cov))
 
 
-def when_pos(c: Column, value: Column) -> Column:
-    return F.when(c > 0, value)
-
-
 def log2_odds_ratio(case: Column | str, control: Column | str) -> Column:
     a, b = prob(case), prob(control)
     return F.log2(a / (1 - a)) - F.log2(b / (1 - b))

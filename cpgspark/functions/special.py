@@ -135,22 +135,41 @@ def binom_sf(k, n, p) -> np.ndarray:
     return np.where(k <= 0, 1.0, np.where(k > n, 0.0, v))
 
 
+#: Cells of a block of tables: tables at once times the counts that the largest can have.
+CELLS = 1 << 20
+
+
 def fisher_two_sided(ma, ua, mb, ub) -> np.ndarray:
-    """Sum of the probabilities of tables not likelier than the observed (within 1e-15); 1 on a degenerate margin, NaN without a row."""
+    """Sum of the probabilities of tables not likelier than the observed (equal ones within rounding); 1 on a degenerate margin, NaN without a row."""
     tables = np.stack([np.asarray(v, np.int64) for v in (ma, ua, mb, ub)])
     distinct, back = np.unique(tables, axis=1, return_inverse=True)
-    out = np.empty(distinct.shape[1])
-    for k, (a, b, c, d) in enumerate(distinct.T.tolist()):
-        ra, rb, m, n = a + b, c + d, a + c, a + b + c + d
-        if ra == 0 or rb == 0:
-            out[k] = np.nan
-        elif m in (0, n):
-            out[k] = 1.0
-        else:
-            x = np.arange(max(0, m - rb), min(ra, m) + 1)
-            choose = lambda top, low: log_gamma(top + 1.0) - log_gamma(low + 1.0) - log_gamma(top - low + 1.0)
-            pmf = np.exp(choose(ra, x) + choose(rb, m - x) - choose(n, m))
-            out[k] = min(1.0, pmf[pmf <= pmf[a - x[0]] + 1e-15].sum())
+    a, b, c, d = distinct
+    ra, rb, m, n = a + b, c + d, a + c, a + b + c + d
+    out = np.where((ra == 0) | (rb == 0), np.nan, 1.0)
+    open_ = np.flatnonzero((ra > 0) & (rb > 0) & (m > 0) & (m < n))
+    lo, hi = np.maximum(0, m - rb), np.minimum(ra, m)
+    open_ = open_[np.argsort((hi - lo)[open_], kind="stable")]  # blocks of tables of like widths
+    most = int(n[open_].max()) if len(open_) else 0
+    if most < 1 << 22:  # the logarithms of all factorials needed
+        known = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, most + 1)))))
+        factorial = lambda v: known[v]
+    else:
+        factorial = lambda v: log_gamma(v + 1.0)
+    at = 0
+    while at < len(open_):
+        end = at + 1
+        while end < len(open_) and (end + 1 - at) * (hi - lo + 1)[open_[end]] <= CELLS:
+            end += 1
+        k = open_[at:end]
+        x = lo[k, None] + np.arange(int((hi - lo)[k[-1]]) + 1)
+        real = x <= hi[k, None]
+        x = np.minimum(x, hi[k, None])
+        top, right, col, all_ = ra[k, None], rb[k, None], m[k, None], n[k, None]
+        log_p = factorial(top) - factorial(x) - factorial(top - x) + factorial(right) - factorial(col - x) - factorial(right - col + x) - factorial(all_) + factorial(col) + factorial(all_ - col)
+        pmf = np.where(real, np.exp(log_p), 0)
+        seen = np.take_along_axis(pmf, (a[k] - lo[k])[:, None], 1)
+        out[k] = np.minimum(1.0, np.where(pmf <= seen * (1 + 1e-7) + 1e-15, pmf, 0).sum(axis=1))
+        at = end
     return out[np.ravel(back)]
 
 
@@ -183,6 +202,7 @@ def _clean(fn, n: int):
 
 
 chi2_sf_col = _clean(chi2_sf, 1)
+chi2k_sf_col = _clean(chi2_sf, 2)
 normal_sf_col = _clean(normal_sf, 1)
 normal_isf_col = _clean(normal_isf, 1)
 t_sf2_col = _clean(t_sf2, 2)

@@ -42,18 +42,37 @@ def combine_neighbours(rows: DataFrame, bp: int = 200, p: str = "pvalue", diff:
 # ---- kernels over one sample's chromosome -----------------------------------
 
 
+#: Elements of a block's matrix: sites at once times the sites of their windows.
+CELLS = 1 << 21
+
+
+def _blocks(lo: np.ndarray, hi: np.ndarray):
+    """Consecutive ranges (i, j, s, e) of rows whose windows lie in [s, e), of at most CELLS cells but for single rows; lo and hi ascend."""
+    i = 0
+    while i < len(lo):
+        j, step = i + 1, 1024
+        while j < len(lo) and step:
+            k = min(j + step, len(lo))
+            if (k - i) * max(int(hi[k - 1]) - int(lo[i]), 1) <= CELLS:
+                j = k
+            else:
+                step //= 2
+        yield i, j, int(lo[i]), int(hi[j - 1])
+        i = j
+
+
 def gaussian_beta(pos: np.ndarray, beta: np.ndarray, cov: np.ndarray, bandwidth: float, at: np.ndarray | None = None) -> np.ndarray:
-    """Coverage-weighted Gaussian mean of beta at `at` (the sites if None), cut off at four bandwidths."""
-    at = pos if at is None else at
+    """Coverage-weighted Gaussian mean of beta at `at` (ascending; the sites if None), cut off at four bandwidths."""
+    at = (pos if at is None else at).astype(float)
     ok = np.isfinite(beta) & (cov > 0)
     x, b, c = pos[ok].astype(float), beta[ok], cov[ok].astype(float)
     lo, hi = np.searchsorted(x, at - 4 * bandwidth), np.searchsorted(x, at + 4 * bandwidth, side="right")
     out = np.full(len(at), np.nan)
-    for i, (s, e) in enumerate(zip(lo.tolist(), hi.tolist())):
-        if e > s:
-            w = c[s:e] * np.exp(-0.5 * ((x[s:e] - at[i]) / bandwidth) ** 2)
-            total = w.sum()
-            out[i] = (w @ b[s:e]) / total if total > 0 else np.nan
+    for i, j, s, e in _blocks(lo, hi):
+        away = x[None, s:e] - at[i:j, None]
+        w = np.where(np.abs(away) <= 4 * bandwidth, np.exp(-0.5 * (away / bandwidth) ** 2), 0) * c[None, s:e]
+        total = w.sum(axis=1)
+        out[i:j] = np.where(total > 0, (w @ b[s:e]) / np.where(total > 0, total, 1), np.nan)
     return out
 
 
@@ -75,34 +94,52 @@ def local_polynomial(pos: np.ndarray, beta: np.ndarray, cov: np.ndarray, ns: int
     n, need = len(x), min(ns, len(x))
     if n == 0:
         return out
-    for i, p in enumerate(pos.astype(float)):
-        k = int(np.searchsorted(x, p))
-        near = np.sort(np.abs(x[max(0, k - need) : k + need] - p))[need - 1]
-        h = max(h_bp, near) * (1 + 1e-9)
-        s, e = np.searchsorted(x, p - h), np.searchsorted(x, p + h, side="right")
-        u = (x[s:e] - p) / h
-        w = c[s:e] * (1 - np.abs(u) ** 3) ** 3
-        d = min(degree, max(0, (w > 0).sum() - 1))
-        a = np.vander(u, d + 1, increasing=True) * np.sqrt(w)[:, None]
-        coef = np.linalg.lstsq(a, b[s:e] * np.sqrt(w), rcond=None)[0]
-        out[i] = min(1.0, max(0.0, coef[0]))
+    at = pos.astype(float)
+    # the distance that holds `need` sites: among as many before and behind
+    k = np.searchsorted(x, at)
+    h = np.empty(len(at))
+    for i in range(0, len(at), max(1, CELLS // (2 * need))):
+        near = k[i : i + max(1, CELLS // (2 * need)), None] + np.arange(-need, need)
+        away = np.where((near >= 0) & (near < n), np.abs(x[np.clip(near, 0, n - 1)] - at[i : i + len(near), None]), np.inf)
+        h[i : i + len(near)] = np.partition(away, need - 1, axis=1)[:, need - 1]
+    h = np.maximum(h_bp, h) * (1 + 1e-9)
+    lo, hi = np.searchsorted(x, at - h), np.searchsorted(x, at + h, side="right")
+    powers = np.arange(2 * degree + 1)
+    for i, j, s, e in _blocks(np.minimum.accumulate(lo[::-1])[::-1], np.maximum.accumulate(hi)):
+        u = (x[None, s:e] - at[i:j, None]) / h[i:j, None]
+        w = np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0) * c[None, s:e]
+        u = np.where(w > 0, u, 0)
+        up = [w * u**q for q in powers]
+        moments = np.stack([v.sum(axis=1) for v in up], axis=1)
+        right = np.stack([v @ b[s:e] for v in up[: degree + 1]], axis=1)
+        points = (w > 0).sum(axis=1)
+        for d in range(degree + 1):
+            own = np.flatnonzero(np.clip(points - 1, 0, degree) == d)
+            if len(own):
+                a = moments[own][:, powers[: d + 1, None] + powers[None, : d + 1]]
+                coef = np.einsum("sij,sj->si", np.linalg.pinv(a, hermitian=True), right[own, : d + 1])
+                out[i + own] = np.clip(coef[:, 0], 0, 1)
     return out
 
 
 def knn_impute(pos: np.ndarray, beta: np.ndarray, k: int = 5, max_bp: float = 10_000) -> np.ndarray:
     """Missing betas from the k nearest sites with one, weighted by 1 / (distance + 1), none farther than max_bp."""
-    have = np.flatnonzero(np.isfinite(beta))
-    x = pos[have].astype(float)
+    have, gaps = np.flatnonzero(np.isfinite(beta)), np.flatnonzero(~np.isfinite(beta))
     out = beta.copy()
-    for i in np.flatnonzero(~np.isfinite(beta)):
-        j = int(np.searchsorted(x, pos[i]))
-        s, e = max(0, j - k), min(len(x), j + k)
-        d = np.abs(x[s:e] - pos[i])
-        order = np.argsort(d, kind="stable")[:k]
-        order = order[d[order] <= max_bp]
-        if len(order):
-            w = 1 / (d[order] + 1)
-            out[i] = (w @ beta[have[s:e][order]]) / w.sum()
+    if not len(have):
+        return out
+    x = pos[have].astype(float)
+    for i in range(0, len(gaps), max(1, CELLS // (2 * k))):
+        own = gaps[i : i + max(1, CELLS // (2 * k))]
+        near = np.searchsorted(x, pos[own])[:, None] + np.arange(-k, k)
+        there = (near >= 0) & (near < len(x))
+        near = np.clip(near, 0, len(x) - 1)
+        away = np.where(there, np.abs(x[near] - pos[own, None]), np.inf)
+        first = np.argsort(away, axis=1, kind="stable")[:, :k]
+        away, near = np.take_along_axis(away, first, 1), np.take_along_axis(near, first, 1)
+        w = np.where(away <= max_bp, 1 / (away + 1), 0)
+        total = w.sum(axis=1)
+        out[own] = np.where(total > 0, (w * beta[have[near]]).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
     return out
 
 
