@@ -1,10 +1,13 @@
 """Multiple testing over all sites, and permutation nulls.
 
-No window runs over the whole table: p values are put into buckets by a monotone
-function of p, which every task computes alike.  Buckets are counted and their
-offsets summed (a table of at most BUCKETS rows), ranks come from a window
-within the bucket, and the running minimum from above is the minimum within the
-bucket and of the buckets above.
+The tested rows are written once, so that nothing behind them is computed again.
+Ranks are those of the distinct p values with their counts: equal values, such
+as the many ones of exact tests, are a single row wherever they are.  No window
+runs over the whole table: p values are put into buckets by a monotone function
+of p, which every task computes alike.  Buckets are counted and their offsets
+summed (a table of at most BUCKETS rows), ranks come from a window within the
+bucket, and the running minimum from above is the minimum within the bucket and
+of the buckets above.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 BUCKETS = 4096
 METHODS = ("fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky", "fdr_storey")
 
@@ -22,13 +27,13 @@ def _bucketed(rows: DataFrame, p: str) -> DataFrame:
     return rows.withColumn("_b", F.least(F.lit(BUCKETS - 1), F.floor(F.pow(F.col(p), 0.25) * BUCKETS)).cast("int"))
 
 
-def ranked(rows: DataFrame, p: str, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the ascending rank (1 on; of equal values the highest) and n, of all rows or in each group `by`; rows without p must be filtered out before."""
-    b = _bucketed(rows, p)
-    counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    offset = counts.select(*by, "_b", (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_off"), F.sum("_c").over(Window.partitionBy(*by)).alias("n_tests"))  # at most BUCKETS rows a group
+def ranked(values: DataFrame, p: str, rank: str = "rank", by: tuple[str, ...] = (), n: str = "_c") -> DataFrame:
+    """Adds the ascending rank (1 on; of equal values the highest) and n_tests to distinct values with their counts `n`, in each group `by`."""
+    b = _bucketed(values, p)
+    counts = b.groupBy(*by, "_b").agg(F.sum(n).alias("_k"))
+    offset = counts.select(*by, "_b", (F.sum("_k").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_k")).alias("_off"), F.sum("_k").over(Window.partitionBy(*by)).alias("n_tests"))  # at most BUCKETS rows a group
     w = Window.partitionBy(*by, "_b").orderBy(p)
-    return b.join(F.broadcast(offset), [*by, "_b"]).withColumn(rank, F.count(F.lit(1)).over(w) + F.col("_off")).drop("_off")
+    return b.join(F.broadcast(offset), [*by, "_b"]).withColumn(rank, F.sum(n).over(w) + F.col("_off")).drop("_off")
 
 
 def suffix_min(rows: DataFrame, value: str, order: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -39,14 +44,19 @@ def suffix_min(rows: DataFrame, value: str, order: str, out: str, by: tuple[str,
     return rows.join(F.broadcast(above), [*by, "_b"]).withColumn(out, F.least(F.min(value).over(w), "_above")).drop("_above")
 
 
-def storey_pi0(rows: DataFrame, p: str = "pvalue", lam: float = 0.5) -> float:
-    r = rows.agg(F.count(F.when(F.col(p) > lam, True)).alias("k"), F.count(p).alias("n")).first()
-    return min(1.0, max(1.0 / max(r["n"], 1), r["k"] / ((1 - lam) * max(r["n"], 1))))
+def _pi0(high: int, n: int, lam: float = 0.5) -> float:
+    """Share of true nulls: p values above lam over those expected there, from 1/n to 1."""
+    return min(1.0, max(1.0 / max(n, 1), high / ((1 - lam) * max(n, 1))))
+
+
+def _step_up(values: DataFrame, p: str, q: str, factor, by: tuple[str, ...] = ()) -> DataFrame:
+    """The groups, p, _c and q of distinct p values with their counts _c."""
+    r = ranked(values, p, by=by).withColumn("_raw", F.col(p) * F.col("n_tests") / F.col("rank") * factor)
+    return suffix_min(r, "_raw", p, "_q", by).select(*by, p, "_c", F.least(F.lit(1.0), "_q").alias(q))
 
 
-def _step_up(rows: DataFrame, p: str, q: str, factor, by: tuple[str, ...] = ()) -> DataFrame:
-    r = ranked(rows, p, by=by).withColumn("_raw", F.col(p) * F.col("n_tests") / F.col("rank") * factor)
-    return suffix_min(r, "_raw", p, "_q", by).withColumn(q, F.least(F.lit(1.0), "_q")).drop("_raw", "_q", "rank", "_b", "n_tests")
+#: Distinct p values (about 32 bytes each) up to this number are broadcast to the rows, more are joined by a shuffle.
+BROADCAST_VALUES = 500_000
 
 
 def adjust(rows: DataFrame, method: str = "fdr_bh", p: str = "pvalue", q: str = "qvalue", reject: str = "reject", alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,24 +71,23 @@ def adjust(rows: DataFrame, method: str = "fdr_bh", p: str = "pvalue", q: str =
         raise ValueError(f"method is one of {METHODS}")
     if by and method != "fdr_bh":
         raise ValueError("families are for fdr_bh only")
-    finite = F.col(p).isNotNull() & ~F.isnan(p)
-    some, none = rows.filter(finite), rows.filter(~finite).withColumns({q: F.lit(None).cast("double"), reject: F.lit(False)})
-    if method == "fdr_by":
-        n = some.count()
-        factor = F.lit(float(np.log(n) + 0.5772156649015329 + 1 / (2 * n)) if n > 10_000 else float((1 / np.arange(1, n + 1)).sum()) if n else 1.0)
-        done = _step_up(some, p, q, factor)
+    rows = saved(rows, "tested")
+    values = saved(rows.filter(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c")), "values")
+    size = values.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col(p) > 0.5, F.col("_c"))), F.lit(0)).alias("high")).first()
+    n = size["n"]
+    factor = 1.0
+    if method == "fdr_by" and n:
+        factor = float(np.log(n) + 0.5772156649015329 + 1 / (2 * n)) if n > 10_000 else float((1 / np.arange(1, n + 1)).sum())
     elif method == "fdr_storey":
-        done = _step_up(some, p, q, F.lit(storey_pi0(some, p)))
+        factor = _pi0(size["high"], n)
     elif method in ("fdr_tsbh", "fdr_tsbky"):
-        level = alpha if method == "fdr_tsbh" else alpha / (1 + alpha)
-        first = _step_up(some, p, "_first", F.lit(1.0))
-        r = first.agg(F.count(F.when(F.col("_first") <= level, True)).alias("r"), F.count(F.lit(1)).alias("n")).first()
-        share = (r["n"] - r["r"]) / max(r["n"], 1)
-        stretch = 1.0 if method == "fdr_tsbh" else 1 + alpha
-        done = _step_up(some, p, q, F.lit((share if 0 < r["r"] < r["n"] else 1.0) * stretch))
-    else:
-        done = _step_up(some, p, q, F.lit(1.0), by)
-    return done.withColumn(reject, F.col(q) <= alpha).select(*rows.columns, q, reject).unionByName(none.select(*rows.columns, q, reject))
+        level, stretch = (alpha, 1.0) if method == "fdr_tsbh" else (alpha / (1 + alpha), 1 + alpha)
+        r = _step_up(values, p, "_first", F.lit(1.0)).agg(F.sum(F.when(F.col("_first") <= level, F.col("_c")))).first()[0] or 0
+        factor = ((n - r) / n if 0 < r < n else 1.0) * stretch
+    done = _step_up(values, p, q, F.lit(factor), by).drop("_c")
+    if size["distinct"] <= BROADCAST_VALUES:
+        done = F.broadcast(done)
+    return rows.join(done, [*by, p], "left").select(*rows.columns, q, F.coalesce(F.col(q) <= alpha, F.lit(False)).alias(reject))
 
 
 def adjust_by_chrom(rows: DataFrame, p: str = "pvalue", q: str = "qvalue") -> DataFrame:
@@ -160,11 +169,13 @@ def empirical_region_fdr(observed: DataFrame, nulls: DataFrame, used: int, metho
 def region_count_ratio(observed: DataFrame, nulls: DataFrame, used: int, p: str = "pvalue") -> DataFrame:
     """q_empirical by counts of null and observed regions up to each p, from one ranking of both."""
     both = observed.withColumn("_own", F.lit(1)).unionByName(nulls.select(F.col(p), F.lit(0).alias("_own")), allowMissingColumns=True)
-    b = _bucketed(both.filter(F.col(p).isNotNull()), p)
-    counts = b.groupBy("_b").agg(F.sum("_own").alias("_o"), F.sum(1 - F.col("_own")).alias("_d"))
+    values = both.filter(F.col(p).isNotNull()).groupBy(p).agg(F.sum("_own").alias("_o"), F.sum(1 - F.col("_own")).alias("_d"))
+    b = _bucketed(saved(values, "values"), p)
+    counts = b.groupBy("_b").agg(F.sum("_o").alias("_o"), F.sum("_d").alias("_d"))
     w = Window.orderBy("_b")
     off = counts.select("_b", (F.sum("_o").over(w) - F.col("_o")).alias("_oo"), (F.sum("_d").over(w) - F.col("_d")).alias("_dd"))  # at most BUCKETS rows
     inner = Window.partitionBy("_b").orderBy(p)
-    r = b.join(F.broadcast(off), "_b").withColumns({"_n_obs": F.sum("_own").over(inner) + F.col("_oo"), "_n_null": F.sum(1 - F.col("_own")).over(inner) + F.col("_dd")}).filter("_own = 1")
+    r = b.join(F.broadcast(off), "_b").withColumns({"_n_obs": F.sum("_o").over(inner) + F.col("_oo"), "_n_null": F.sum("_d").over(inner) + F.col("_dd")}).filter("_o > 0")
     r = r.withColumn("_raw", F.col("_n_null") / F.lit(max(used, 1)) / F.col("_n_obs"))
-    return suffix_min(r, "_raw", p, "_q").withColumn("q_empirical", F.least(F.lit(1.0), "_q")).select(*observed.columns, "q_empirical")
+    q = suffix_min(r, "_raw", p, "_q").select(F.col(p), F.least(F.lit(1.0), "_q").alias("q_empirical"))
+    return observed.filter(F.col(p).isNotNull()).join(q, p).select(*observed.columns, "q_empirical")
