@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cpgspark")
+    from .operators.calls import METHODS
+
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *flags: tuple[str, dict]) -> None:
@@ -18,11 +20,26 @@ def parser() -> argparse.ArgumentParser:
 
     store, out = ("store", {}), ("out", {})
     groups = (("--case", {"nargs": "+", "required": True}), ("--control", {"nargs": "+", "required": True}), ("--single", {"action": "store_true", "help": "allow groups of one sample"}))
-    add("convert", ("sheet", {}), out, ("--treatment", {"required": True}), ("--control-group", {"required": True}))
+    add("convert", ("sheet", {}), out, ("--treatment", {"required": True}), ("--control-group", {"required": True}), ("--format", {"default": "bismark", "choices": ["bismark", "methyldackel", "combined_strand_bed"]}), ("--canonical-only", {"action": "store_true"}))
     add("filter", store, out, ("--min-coverage", {"type": int, "default": 10}), ("--quantile", {"type": float, "default": 0.999}))
     add("summary", store, out)
-    add("dmc", store, out, *groups, ("--test", {"default": "lr"}), ("--unite", {"default": "union"}))
-    add("dmr", store, out, *groups, ("--method", {"default": "chain_merge", "choices": ["chain_merge", "sliding_window", "tile", "segment"]}), ("--preset", {"default": None}))
+    sites = (
+        ("--test", {"default": "auto"}),
+        ("--sheet", {"default": None, "help": "CSV with sample_id and covariates"}),
+        ("--formula", {"default": None}),
+        ("--contrast", {"default": None}),
+        ("--covariates", {"nargs": "+", "default": None}),
+        ("--unite", {"default": "union"}),
+        ("--reference", {"default": "adaptive"}),
+        ("--chromosomes", {"nargs": "+", "default": None}),
+        ("--canonical-only", {"action": "store_true"}),
+    )
+    perm = (("--empirical", {"action": "store_true"}), ("--n-perm", {"type": int, "default": 100}), ("--seed", {"type": int, "default": 42}))
+    add("dmc", store, out, *groups, *sites, *perm, ("--dispersion", {"default": "eb"}), ("--fdr", {"default": "fdr_bh"}), ("--neighbours", {"action": "store_true"}), ("--neighbour-bp", {"type": int, "default": 500}), ("--separation", {"action": "store_true"}), ("--smoothing-bp", {"type": int, "default": None}), ("--power-stack", {"action": "store_true"}))
+    numbers = [("--alpha", float), ("--min-abs-diff", float), ("--merge-bp", int), ("--min-cpgs", int), ("--pct-sig", float), ("--min-len", int)]
+    add("dmr", store, out, *groups, *sites, *perm, ("--method", {"default": "chain_merge", "choices": METHODS}), ("--preset", {"default": None}), *((f, {"type": t, "default": None}) for f, t in numbers), ("--use-q", {"action": "store_true"}), ("--q-below", {"type": float, "default": 0.05}), ("--window-bp", {"type": int, "default": 500}), ("--min-sig", {"type": int, "default": 3}), ("--tile-size", {"type": int, "default": 1000}), ("--tile-min-cpgs", {"type": int, "default": 5}), ("--no-merge", {"dest": "merge_adjacent", "action": "store_false"}), ("--dispersion", {"default": "site"}), ("--fdr-method", {"default": "max_t", "choices": ["max_t", "region"]}))
+    add("dvc", store, out, *groups, ("--alpha", {"type": float, "default": 0.05}))
+    add("report", store, out, ("--sites", {"default": None}), ("--regions", {"default": None}), ("--title", {"default": "Methylation"}))
     add("qc-report", store, out)
     add("smooth", store, out, ("--method", {"default": "gaussian"}), ("--bandwidth", {"type": float, "default": 1000}))
     add("aggregate-regions", store, ("bed", {}), out)
@@ -37,17 +54,18 @@ def check_groups(case: list[str], control: list[str], single: bool) -> None:
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    from .operators import annotate, qc, regions, segment, site_tests, smooth
+    from .operators import annotate, calls, qc, site_tests, smooth
     from .operators.aggregate import sample_summary
     from .operators.prep import aggregate_regions, filter_sites
-    from .sources import readers, writers
+    from .sources import readers, report, writers
+    from .sources.results import ensure_converted
     from .sources.store import read_store, write_store
 
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("cpgspark").getOrCreate()
     if a.command == "convert":
         obs = readers.read_samplesheet(spark, a.sheet, a.treatment, a.control_group)
-        write_store(readers.read_bismark(spark, obs), a.out)
+        ensure_converted(spark, obs, a.out, a.format, canonical_only=a.canonical_only)
         return
     if a.command == "annotate":
         genes, exons, utr = readers.read_gtf(spark, a.gtf)
@@ -58,16 +76,20 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         write_store(filter_sites(store, a.min_coverage, a.quantile), a.out)
     elif a.command == "summary":
         sample_summary(store).write.parquet(a.out)
-    elif a.command in ("dmc", "dmr"):
+    elif a.command in ("dmc", "dmr", "dvc"):
         check_groups(a.case, a.control, a.single)
-        if a.command == "dmr" and a.method == "tile":
-            regions.tile_regions(store, a.case, a.control).write.parquet(a.out)
+        if a.command == "dvc":
+            site_tests.variance_test(store, a.case, a.control, a.alpha).write.parquet(a.out)
             return
-        cfg = site_tests.TestConfig(test=getattr(a, "test", "lr"), unite=getattr(a, "unite", "union"))
-        sites = site_tests.test_sites(store, a.case, a.control, cfg)
-        if a.command == "dmr":
-            sites = {"chain_merge": lambda s: regions.chain_merge(s, a.preset), "sliding_window": regions.sliding_windows, "segment": segment.segment_regions}[a.method](sites)
-        sites.write.parquet(a.out)
+        obs = spark.createDataFrame([(s, 1) for s in a.case] + [(s, 0) for s in a.control], "sample_id string, treatment int")
+        if a.sheet:
+            obs = obs.join(spark.read.csv(a.sheet, header=True).drop("treatment"), "sample_id")
+        names = {"command", "store", "out", "case", "control", "single", "sheet"}
+        options = {k: v for k, v in vars(a).items() if k not in names} | {"allow_single": a.single}
+        (site_tests.dmc if a.command == "dmc" else calls.dmr)(store, obs, **options).write.parquet(a.out)
+    elif a.command == "report":
+        at = lambda path: spark.read.parquet(path) if path else None
+        report.write_report(a.title, report.sections(store, at(a.sites), at(a.regions)), a.out)
     elif a.command == "qc-report":
         qc.coverage_uniformity(store).write.parquet(a.out)
     elif a.command == "smooth":

@@ -56,6 +56,11 @@ def filter_canonical(store: DataFrame) -> DataFrame:
     return store.filter(is_canonical("chrom"))
 
 
+def dropped_contigs(store: DataFrame) -> DataFrame:
+    """(chrom, n) of the rows that filter_canonical leaves out, for a log."""
+    return store.filter(~is_canonical("chrom")).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+
+
 def infer_strand(store: DataFrame, reference: DataFrame, block: int = 10_000) -> DataFrame:
     """Strand from the reference base: C is +, G is -, all else *.
 

@@ -98,27 +98,33 @@ def join_metrics(obs: DataFrame, *metrics: DataFrame) -> DataFrame:
 
 
 def power(diff: float, coverage: float, n: int | None = None, target: float | None = None, alpha: float = 0.05, baseline: float = 0.5, replicate_sd: float = 0.05, dispersion: float = 1.0, n_tests: int | None = None, two_sided: bool = True) -> float:
-    """Power of a t test with n samples per group, or the least n that reaches a target power."""
+    """Power of a t test with n samples per group, or the least n (from 2 to 10,000) that reaches a target power.
+
+    A sample's variance is that of its reads at the baseline, times the
+    dispersion, and that between samples; it is the same in both groups.
+    """
     if (n is None) == (target is None):
         raise ValueError("give n or the target power")
+    if coverage <= 0:
+        raise ValueError("coverage must be positive")
     level = alpha / (n_tests or 1) * (1 if two_sided else 2)
-    p2 = min(max(baseline + diff, 1e-6), 1 - 1e-6)
-    var = lambda p: replicate_sd**2 + dispersion * p * (1 - p) / coverage
+    effect = abs(diff) / max(math.sqrt(dispersion * baseline * (1 - baseline) / coverage + replicate_sd**2), 1e-12)
 
     def at(k: int) -> float:
-        df = 2 * k - 2
+        if k < 2:
+            return 0.0
+        df, shift = 2 * k - 2, effect * math.sqrt(k / 2)
         t = float(t_isf2(level, df))
-        shift = abs(diff) / math.sqrt((var(baseline) + var(p2)) / k)
-        up = noncentral_t_sf(t, df, shift)
-        return up + (1 - noncentral_t_sf(-t, df, shift) if two_sided else 0.0)
+        below = 1 - noncentral_t_sf(-t, df, shift) if two_sided else 0.0
+        return min(max(noncentral_t_sf(t, df, shift) + below, 0.0), 1.0)
 
     if n is not None:
         return at(n)
-    lo = 2
-    while at(lo) < target:
-        lo += 1
-        if lo > 100_000:
-            raise ValueError("no such n")
+    # the power grows with n: bisection
+    lo, hi = 2, 10_000
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if at(mid) >= target else (mid + 1, hi)
     return lo
 
 

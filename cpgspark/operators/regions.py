@@ -13,18 +13,33 @@ from .prep import tiles
 
 #: Fixed values of the chain presets.
 PRESETS = {
-    "strict": {"alpha": 0.01, "min_abs_diff": 0.2, "merge_bp": 300, "min_cpgs": 5, "pct_sig": 0.7},
-    "default": {"alpha": 0.05, "min_abs_diff": 0.1, "merge_bp": 500, "min_cpgs": 3, "pct_sig": 0.5},
-    "permissive": {"alpha": 0.1, "min_abs_diff": 0.05, "merge_bp": 1000, "min_cpgs": 3, "pct_sig": 0.3},
+    "strict": {"alpha": 1e-6, "min_abs_diff": 0.2, "merge_bp": 250, "min_cpgs": 5, "pct_sig": 0.5, "min_len": 100},
+    "default": {"alpha": 1e-4, "min_abs_diff": 0.1, "merge_bp": 500, "min_cpgs": 3, "pct_sig": 0.5, "min_len": 50},
+    "permissive": {"alpha": 1e-4, "min_abs_diff": 0.05, "merge_bp": 1000, "min_cpgs": 3, "pct_sig": 0.5, "min_len": 50},
 }
+#: Fixed values of a chain without a preset, and the sites that a region needs by default where users call it.
+CHAIN = {"alpha": 0.05, "min_abs_diff": 0.1, "merge_bp": 500, "min_cpgs": 3, "pct_sig": 0.5, "min_len": 50}
+LAYER_MIN_CPGS = 5
+
+
+def chain_settings(preset: str | None = None, **given) -> dict:
+    """The settings of a chain: what is given (not None) wins, then the preset, then the bare values."""
+    if preset is not None and preset not in PRESETS:
+        raise ValueError(f"preset is one of {sorted(PRESETS)}")
+    return (PRESETS[preset] if preset else CHAIN) | {k: v for k, v in given.items() if v is not None}
+
+
+def resolve_min_cpgs(min_cpgs: int | None, preset: str | None) -> int:
+    """Sites that a region needs where users call it: given, of the preset, or 5."""
+    return chain_settings(preset, min_cpgs=min_cpgs)["min_cpgs"] if preset or min_cpgs is not None else LAYER_MIN_CPGS
 
 
 def direction(mean: Column | str, n_hyper: Column | str, n_hypo: Column | str) -> Column:
-    """hyper or hypo by the mean's sign; mixed where fewer than 60 % of the sites agree with it."""
+    """hyper or hypo by the mean's sign; mixed where neither direction has 60 % of the sites that have one; by the majority without a mean."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
     mean, up, down = c(mean), c(n_hyper), c(n_hypo)
-    agree = F.when(mean >= 0, up).otherwise(down) / F.greatest(up + down, F.lit(1))
-    return F.when(agree < 0.6, "mixed").when(mean >= 0, "hyper").otherwise("hypo")
+    split = (up + down == 0) | (F.greatest(up, down) / (up + down) < 0.6)
+    return F.when(split, "mixed").when(F.when(mean.isNull() | F.isnan(mean), up > down).otherwise(mean > 0), "hyper").otherwise("hypo")
 
 
 def stouffer_columns(p: str = "pvalue", diff: str = "meth_diff", signed: bool = True) -> Column:
@@ -58,13 +73,13 @@ def _region_stats(sites: DataFrame, keys: list[str], start: Column, end: Column,
     return g
 
 
-def chain_merge(sites: DataFrame, preset: str | None = None, alpha: float = 0.05, min_abs_diff: float = 0.1, merge_bp: int = 500, min_cpgs: int | None = None, pct_sig: float = 0.5, min_len: int = 50, use_q: bool = False, combine: bool = True) -> DataFrame:
-    """Significant sites chained over gaps of up to merge_bp; a region has all sites from its first to its last significant one."""
-    if preset:
-        d = PRESETS[preset]
-        alpha, min_abs_diff, merge_bp, pct_sig = d["alpha"], d["min_abs_diff"], d["merge_bp"], d["pct_sig"]
-        min_cpgs = d["min_cpgs"] if min_cpgs is None else min_cpgs
-    min_cpgs = 5 if min_cpgs is None else min_cpgs
+def chain_merge(sites: DataFrame, preset: str | None = None, alpha: float | None = None, min_abs_diff: float | None = None, merge_bp: int | None = None, min_cpgs: int | None = None, pct_sig: float | None = None, min_len: int | None = None, use_q: bool = False, combine: bool = True) -> DataFrame:
+    """Significant sites chained over gaps of up to merge_bp; a region has all sites from its first to its last significant one.
+
+    Settings that aren't given are those of the preset, or of CHAIN without one.
+    """
+    d = chain_settings(preset, alpha=alpha, min_abs_diff=min_abs_diff, merge_bp=merge_bp, min_cpgs=min_cpgs, pct_sig=pct_sig, min_len=min_len)
+    alpha, min_abs_diff, merge_bp, min_cpgs, pct_sig, min_len = (d[k] for k in ("alpha", "min_abs_diff", "merge_bp", "min_cpgs", "pct_sig", "min_len"))
     p = "qvalue" if use_q else "pvalue"
     s = sites.withColumn("_sig", F.coalesce((F.col(p) < alpha) & (F.abs("meth_diff") >= min_abs_diff), F.lit(False)))
     if combine:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, log2_odds_ratio, prob
+from ..functions.expr import clip, is_canonical, log2_odds_ratio, prob
 from ..functions.special import chi2_sf_col, f_sf_col, fisher_col, t_isf2_col, t_sf2_col
 from .aggregate import site_groups
 
@@ -144,12 +144,68 @@ def welch_test(store: DataFrame, case: list[str], control: list[str], cfg: TestC
 ENGINES = {"lr": lr_test, "fisher": fisher_test, "welch_t": welch_test}
 
 
+#: What to use instead of engines that are no more.
+REMOVED = {"logit_t": "welch_t or lr", "bb_lr": "lr", "score": "lr", "cmh": "a formula with the strata as a covariate"}
+
+
 def engine(test: str):
+    if test in REMOVED:
+        raise ValueError(f"{test} was removed; use {REMOVED[test]}")
     if test not in ENGINES:
         raise ValueError(f"{test} is no engine; use one of {sorted(ENGINES)}")
     return ENGINES[test]
 
 
+def resolve_test(test: str, n_case: int, n_control: int, allow_single: bool, modelled: bool) -> str:
+    """The engine that `auto` stands for: glm with a formula or covariates, fisher below two samples in a group (on demand), else lr."""
+    if modelled:
+        if test not in ("auto", "glm"):
+            raise ValueError("a formula, contrast or covariates need test glm")
+        return "glm"
+    single = min(n_case, n_control) < 2
+    if single and not allow_single:
+        raise ValueError("each group needs two samples, unless single ones are allowed")
+    if test == "auto":
+        return "fisher" if single else "lr"
+    if test == "glm":
+        return "glm"
+    engine(test)
+    return test
+
+
+def resolve_chromosomes(store: DataFrame, chromosomes: list[str] | None = None, canonical_only: bool = False) -> DataFrame:
+    """The store's rows of the chromosomes given as they are, or else of all, or of the canonical ones."""
+    if chromosomes is not None:
+        return store.filter(F.col("chrom").isin(chromosomes))
+    return store.filter(is_canonical("chrom")) if canonical_only else store
+
+
+def dmc(store: DataFrame, obs: DataFrame, test: str = "auto", chromosomes: list[str] | None = None, canonical_only: bool = False, allow_single: bool = False, formula: str | None = None, contrast: str | None = None, covariates: list[str] | None = None, reference_level: str | None = None, empirical: bool = False, n_perm: int = 100, seed: int = 42, **knobs) -> DataFrame:
+    """The one entry of site tests: `obs` has sample_id, treatment (1 or 0) and covariates; further arguments are those of TestConfig.
+
+    Gives p and q values, the difference with its interval, and with `empirical`
+    (lr only) the max-statistic p and q over shuffled labels as well.
+    """
+    from .fdr import adjust, empirical_site_fdr
+    from .glm import test_design
+
+    rows = obs.toPandas()  # one row per sample
+    case, control = (sorted(rows.loc[rows["treatment"] == t, "sample_id"]) for t in (1, 0))
+    modelled = bool(formula or contrast or covariates)
+    test = resolve_test(test, len(case), len(control), allow_single or modelled, modelled)
+    store = resolve_chromosomes(store, chromosomes, canonical_only)
+    cfg = TestConfig(**({} if test == "glm" else {"test": test}), **knobs)
+    if empirical and test != "lr":
+        raise ValueError("shuffled labels are for test lr")
+    if test == "glm":
+        out = test_design(store, rows, formula, contrast, covariates, reference_level, cfg.dispersion, cfg.reference)
+        return adjust(out, cfg.fdr)
+    out = test_sites(store, case, control, cfg)
+    if test in ("lr", "fisher"):
+        out = newcombe_interval(out, phi="phi" if test == "lr" else None)
+    return empirical_site_fdr(store, case, control, out, n_perm, seed) if empirical else out
+
+
 def test_sites(store: DataFrame, case: list[str], control: list[str], cfg: TestConfig | None = None) -> DataFrame:
     """The whole test: statistics, p and q values, and what the configuration adds."""
     from .fdr import adjust
@@ -186,11 +242,15 @@ def newcombe_interval(groups: DataFrame, z: float = 1.959963984540054, phi: str
 
 
 def delta_interval(rows: DataFrame, coef: str, se: str, reference: str | None = None, z: float = 1.959963984540054) -> DataFrame:
-    """A logit coefficient with its error on the scale of the difference, from the reference linear predictor (0 if none)."""
-    eta = F.col(reference) if reference else F.lit(0.0)
-    logistic = lambda x: 1 / (1 + F.exp(-x))
-    p = logistic(eta + F.col(coef))
-    d, s = p - logistic(eta), p * (1 - p) * F.col(se)
+    """A logit coefficient with its error on the scale of the difference, from the reference linear predictor (0 if none).
+
+    The difference is that of the two predicted shares; its error is the
+    coefficient's times the slope of the curve at the reference.
+    """
+    eta = clip(F.col(reference), -30, 30) if reference else F.lit(0.0)
+    logistic = lambda x: 1 / (1 + F.exp(-clip(x, -30, 30)))
+    base = logistic(eta)
+    d, s = logistic(eta + F.col(coef)) - base, base * (1 - base) * F.col(se)
     return rows.withColumns({"meth_diff": d, "ci_low": clip(d - F.lit(z) * s, -1, 1), "ci_high": clip(d + F.lit(z) * s, -1, 1)})
 
 
