@@ -2,9 +2,11 @@
 
 The driver's tables hold no methylation data, so the queries run on the store
 made of line items (sources.store.lineitem_store), with genes, regions and
-islands made of parts.  p values of the queries that have SQL are exp(-lr/2),
-the tail of a chi-squared variable with two degrees of freedom, which SQL can
-say; everything downstream treats them as any other p value.
+islands made of parts.  The queries named ..._p, tile_calls and variance_test
+compare the operators' own p values, whose tails SQL sums as series.  Behind
+`sites()` p values are exp(-lr/2), the tail of a chi-squared variable with two
+degrees of freedom, which both sides get to the last digits, so that thresholds
+can't part them; everything downstream treats them as any other p value.
 """
 
 from __future__ import annotations
@@ -312,6 +314,34 @@ def _(spark, d):
     return site_tests.dispersions(g, "chrom").select("chrom", *big("pos"), *r6("phi"))
 
 
+def chi1_sql(x: str) -> str:
+    """Upper tail of chi-squared with one degree of freedom: one minus the series of the error function."""
+    z = f"least(sqrt({x}/2), 6.0)"
+    return f"(CASE WHEN {x}<=0 THEN 1.0 ELSE greatest(0.0, 1-list_sum(list_transform(range(0,160), lambda term: exp((2*term+1)*ln({z})-{z}*{z}-lgamma(term+1.5))))) END)"
+
+
+def beta_sql(a: str, b: str, x: str) -> str:
+    """Regularised incomplete beta function by its series of positive terms, from the end where it converges fast."""
+    series = lambda a, b, x: f"list_sum(list_transform(range(0,1500), lambda term: exp(({a}+term)*ln({x})+({b})*ln(1-({x}))+lgamma({a}+{b}+term)-lgamma({a}+1+term)-lgamma({b}))))"
+    return f"(CASE WHEN {x}<=0 THEN 0.0 WHEN {x}>=1 THEN 1.0 WHEN {x}<0.75 THEN {series(a, b, x)} ELSE 1-{series(b, a, f'(1-{x})')} END)"
+
+
+def f1_sql(x: str, df: str) -> str:
+    """Upper tail of F with 1 and df degrees, and of a two-sided t whose square is x."""
+    return beta_sql(f"({df}/2)", "0.5", f"({df}/({df}+{x}))")
+
+
+#: The likelihood-ratio test as it is by default: drawn dispersions, F where they exceed 1.
+LR_P = """c3 AS (SELECT cc AS c3c, CASE WHEN sites>=100 THEN greatest(k-2*sites,1) ELSE 1.0 END AS dc FROM c),
+eb AS (SELECT phi.chrom, phi.pos, CASE WHEN i AND df>0 THEN greatest(1.0,(df*phi+w*pc)/(df+w)) ELSE greatest(1.0,pc) END AS f, CASE WHEN i AND df>0 THEN df+w ELSE dc END AS fd FROM phi JOIN c2 ON chrom=cc JOIN c3 ON chrom=c3c),
+st AS (SELECT eb.chrom, eb.pos, f, greatest(fd,50.0)::DOUBLE AS fd, lr*phi/f AS x FROM lrs JOIN eb ON eb.chrom=lrs.chrom AND eb.pos=lrs.pos)"""
+
+
+@query("site_lr_p", with_(STORE, GROUPS, LR, EB, LR_P) + f"SELECT chrom, pos, {rd(('x', 'lr'))}, round(CASE WHEN f>1 THEN {f1_sql('x', 'fd')} ELSE {chi1_sql('x')} END, 6)+0.0 AS pvalue FROM st")
+def _(spark, d):
+    return site_tests.lr_test(store(spark, d), TREATED, CONTROLS, site_tests.TestConfig(unite="intersect")).select("chrom", *big("pos"), *r6("lr", "pvalue"))
+
+
 @query("site_test_full")
 def _(spark, d):
     return site_tests.test_sites(store(spark, d), TREATED, CONTROLS, site_tests.TestConfig(power_stack=True, unite="intersect"))
@@ -325,27 +355,30 @@ def _(spark, d):
     return site_tests.welch_statistic(g).select("chrom", *big("pos"), *r6("meth_diff", "t", "dof"))
 
 
-@query("site_welch_p")
+WELCH = """g AS (SELECT chrom, pos, count(*) FILTER (sample<'s3') AS ka, count(*) FILTER (sample>='s3') AS kb, avg(n_meth/coverage) FILTER (sample<'s3') AS a, avg(n_meth/coverage) FILTER (sample>='s3') AS b,
+ var_samp(n_meth/coverage) FILTER (sample<'s3') AS va, var_samp(n_meth/coverage) FILTER (sample>='s3') AS vb FROM store WHERE coverage>0 GROUP BY chrom, pos HAVING count(*)=6),
+wt AS (SELECT chrom, pos, CASE WHEN va+vb>0 THEN (a-b)*(a-b)/(va/ka+vb/kb) END AS t2, CASE WHEN va+vb>0 THEN greatest(1.0,(va/ka+vb/kb)*(va/ka+vb/kb)/((va/ka)*(va/ka)/(ka-1)+(vb/kb)*(vb/kb)/(kb-1))) END AS v FROM g)"""
+
+
+@query("site_welch_p", with_(STORE, WELCH) + f"SELECT chrom, pos, round(CASE WHEN t2 IS NOT NULL THEN {f1_sql('t2', 'v')} END, 6)+0.0 AS pvalue FROM wt")
+def _(spark, d):
+    return site_tests.welch_test(store(spark, d), TREATED, CONTROLS, site_tests.TestConfig(test="welch_t", unite="intersect")).select("chrom", *big("pos"), *r6("pvalue"))
+
+
+@query("site_welch_full")
 def _(spark, d):
     return site_tests.welch_test(store(spark, d), TREATED, CONTROLS, site_tests.TestConfig(test="welch_t", unite="intersect"))
 
 
-FISHER = """f AS (SELECT chrom, pos, ma::BIGINT AS a, na::BIGINT AS ra, (ma+mb)::BIGINT AS m, nb::BIGINT AS rb, (na+nb)::BIGINT AS n FROM grp WHERE ns=6 AND pos < 4000),
+FISHER = """f AS (SELECT chrom, pos, ma::BIGINT AS a, na::BIGINT AS ra, (ma+mb)::BIGINT AS m, nb::BIGINT AS rb, (na+nb)::BIGINT AS n FROM grp WHERE ns=6),
 k AS (SELECT *, unnest(range(greatest(0, m-rb), least(ra, m)+1)) AS x FROM f),
 lp AS (SELECT *, lgamma(ra+1)-lgamma(x+1)-lgamma(ra-x+1)+lgamma(rb+1)-lgamma(m-x+1)-lgamma(rb-m+x+1)-lgamma(n+1)+lgamma(m+1)+lgamma(n-m+1) AS l FROM k),
 o AS (SELECT *, exp(l) AS pmf, max(CASE WHEN x=a THEN exp(l) END) OVER (PARTITION BY chrom, pos) AS po FROM lp)"""
 
 
-@query("site_fisher", with_(STORE, GROUPS, FISHER) + "SELECT chrom, pos, round(CASE WHEN any_value(m) IN (0, any_value(n)) THEN 1.0 ELSE least(1.0, sum(CASE WHEN pmf<=po+1e-15 THEN pmf ELSE 0 END)) END, 6)+0.0 AS pvalue FROM o GROUP BY chrom, pos")
-def _(spark, d):
-    s = store(spark, d).filter("pos < 4000")
-    return site_tests.fisher_test(s, TREATED, CONTROLS, site_tests.TestConfig(test="fisher", unite="intersect")).select("chrom", *big("pos"), *r6("pvalue"))
-
-
-@query("site_fisher_full")
+@query("site_fisher", with_(STORE, GROUPS, FISHER) + "SELECT chrom, pos, round(CASE WHEN any_value(m) IN (0, any_value(n)) THEN 1.0 ELSE least(1.0, sum(CASE WHEN pmf<=po*(1+1e-7)+1e-15 THEN pmf ELSE 0 END)) END, 6)+0.0 AS pvalue FROM o GROUP BY chrom, pos")
 def _(spark, d):
-    """All sites; site_fisher is the prefix of them that its SQL names."""
-    return site_tests.fisher_test(store(spark, d), TREATED, CONTROLS, site_tests.TestConfig(test="fisher", unite="intersect"))
+    return site_tests.fisher_test(store(spark, d), TREATED, CONTROLS, site_tests.TestConfig(test="fisher", unite="intersect")).select("chrom", *big("pos"), *r6("pvalue"))
 
 
 NEWCOMBE = """nw AS (SELECT chrom, pos, ma/na AS p1, mb/nb AS p2, na, nb, 1.959963984540054 AS z FROM grp WHERE ns=6),
@@ -380,11 +413,33 @@ def _(spark, d):
     return site_tests.brown_forsythe(store(spark, d), TREATED, CONTROLS).select("chrom", *big("pos"), *r6("var_log_ratio"), (F.round("f_stat", 4) + F.lit(0.0)).alias("f_stat"))
 
 
-@query("variance_test")
+@query("variance_test", with_(STORE, BF, WELCH) + f""", f AS (SELECT w.chrom, w.pos, CASE WHEN within>1e-15 THEN (na*(ma-g)*(ma-g)+nb*(mb-g)*(mb-g))/(within/(na+nb-2)) END AS x, (na+nb-2)::DOUBLE AS n2, t2, v FROM w JOIN wt ON w.chrom=wt.chrom AND w.pos=wt.pos)
+ SELECT chrom, pos, round(CASE WHEN x IS NOT NULL THEN {f1_sql('x', 'n2')} END, 6)+0.0 AS pvalue_variance, round(CASE WHEN t2 IS NOT NULL THEN {f1_sql('t2', 'v')} END, 6)+0.0 AS pvalue_mean FROM f""")
+def _(spark, d):
+    """The sites that all samples cover, as the SQL's means are theirs."""
+    s = store(spark, d)
+    return site_tests.variance_test(s, TREATED, CONTROLS).select("chrom", *big("pos"), *r6("pvalue_variance", "pvalue_mean"))
+
+
+@query("variance_test_full")
 def _(spark, d):
     return site_tests.variance_test(store(spark, d), TREATED, CONTROLS)
 
 
+@query("dmc_glm")
+def _(spark, d):
+    """The one entry: a model with a batch, drawn dispersions, adjusted differences."""
+    obs = spark.createDataFrame([(s, int(s in TREATED), "ab"[i % 2]) for i, s in enumerate(ALL)], "sample_id string, treatment int, batch string")
+    return site_tests.dmc(store(spark, d), obs, covariates=["batch"], dispersion="eb")
+
+
+@query("dmc_auto")
+def _(spark, d):
+    """The one entry by default: likelihood ratio, drawn dispersions, interval and q values."""
+    obs = spark.createDataFrame([(s, int(s in TREATED)) for s in ALL], "sample_id string, treatment int")
+    return site_tests.dmc(store(spark, d), obs)
+
+
 @query("glm_contrast")
 def _(spark, d):
     import pandas as pd
@@ -419,9 +474,10 @@ def _(spark, d):
     return fdr.adjust(sites(spark, d), "fdr_storey").filter("qvalue is not null").select("chrom", *big("pos"), *r6("qvalue"))
 
 
-@query("fdr_two_stage")
+@query("fdr_two_stage", with_(STORE, GROUPS, LR, SITES, BH) + """, k AS (SELECT count(*) FILTER (q<=0.05/1.05) AS r, count(*) AS n FROM bh), m AS (SELECT CASE WHEN r>0 AND r<n THEN (n-r)/n ELSE 1.0 END*1.05 AS f FROM k),
+ r2 AS (SELECT chrom, pos, p, raw*f AS raw2 FROM bh, m) SELECT chrom, pos, round(least(1.0, min(raw2) OVER (ORDER BY p DESC)),6)+0.0 AS qvalue FROM r2""")
 def _(spark, d):
-    return fdr.adjust(sites(spark, d), "fdr_tsbky").select("chrom", "pos", "pvalue", "qvalue", "reject")
+    return fdr.adjust(sites(spark, d), "fdr_tsbky").filter("qvalue is not null").select("chrom", *big("pos"), *r6("qvalue"))
 
 
 @query("fdr_by_chrom", with_(STORE, GROUPS, LR, SITES) + ", r AS (SELECT *, p*count(*) OVER (PARTITION BY chrom)/count(*) OVER (PARTITION BY chrom ORDER BY p) AS raw FROM sites WHERE p IS NOT NULL) SELECT chrom, pos, round(least(1.0, min(raw) OVER (PARTITION BY chrom ORDER BY p DESC)),6)+0.0 AS qvalue FROM r")
@@ -480,21 +536,56 @@ def _(spark, d):
 
 # ---- regions ------------------------------------------------------------------
 
-CHAIN = """cs AS (SELECT *, coalesce(p<0.05 AND abs(d)>=0.1, false) AS sig FROM sites),
+#: A region's direction: of the mean, mixed where neither sign has 60 % of the sites that have one.
+KIND = "CASE WHEN up+dn=0 OR greatest(up,dn)/(up+dn)<0.6 THEN 'mixed' WHEN mu>0 THEN 'hyper' ELSE 'hypo' END"
+
+
+def chain_sql(alpha: float, diff: float, gap: int, cpgs: int, share: float, length: int) -> str:
+    return f"""cs AS (SELECT *, coalesce(p<{alpha!r} AND abs(d)>={diff}, false) AS sig FROM sites),
 l AS (SELECT *, last_value(CASE WHEN sig THEN pos END IGNORE NULLS) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ls FROM cs),
-b AS (SELECT *, sum(CASE WHEN sig AND (ls IS NULL OR pos-ls>500) THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos) AS chain FROM l),
+b AS (SELECT *, sum(CASE WHEN sig AND (ls IS NULL OR pos-ls>{gap}) THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos) AS chain FROM l),
 nx AS (SELECT *, first_value(CASE WHEN sig THEN chain END IGNORE NULLS) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nc FROM b),
 reg AS (SELECT chrom, min(pos) AS s, max(pos)+1 AS e, count(*) AS n, sum(sig::INT) AS k, avg(d) AS mu, count(*) FILTER (d>0) AS up, count(*) FILTER (d<0) AS dn FROM nx WHERE chain>0 AND chain=nc GROUP BY chrom, chain),
-chains AS (SELECT chrom, s, e, n, k, mu, CASE WHEN CASE WHEN mu>=0 THEN up ELSE dn END/greatest(up+dn,1)<0.6 THEN 'mixed' WHEN mu>=0 THEN 'hyper' ELSE 'hypo' END AS kind FROM reg WHERE e-s>=50 AND n>=3 AND k/n>=0.5)"""
+chains AS (SELECT chrom, s, e, n, k, mu, {KIND} AS kind FROM reg WHERE e-s>={length} AND n>={cpgs} AND k/n>={share})"""
+
+
+CHAIN = chain_sql(0.05, 0.1, 500, 3, 0.5, 50)
+CHAIN_ROWS = f"SELECT chrom, s AS start, e AS \"end\", n AS n_cpgs, k::BIGINT AS n_sig, kind AS dmr_type, {rd(('mu', 'mean_diff'))} FROM chains"
 
 
 def chains(spark, d, combine=False):
     return regions.chain_merge(sites(spark, d), min_cpgs=3, combine=combine)
 
 
-@query("chain_merge", with_(STORE, GROUPS, LR, SITES, CHAIN) + f"SELECT chrom, s AS start, e AS \"end\", n AS n_cpgs, k::BIGINT AS n_sig, kind AS dmr_type, {rd(('mu', 'mean_diff'))} FROM chains")
+def chain_rows(regions_):
+    return regions_.select("chrom", *big("start", "end", "n_cpgs", "n_sig"), "dmr_type", *r6("mean_diff"))
+
+
+@query("chain_merge", with_(STORE, GROUPS, LR, SITES, CHAIN) + CHAIN_ROWS)
+def _(spark, d):
+    return chain_rows(chains(spark, d))
+
+
+# the values of the presets, said again
+@query("chain_merge_strict", with_(STORE, GROUPS, LR, SITES, chain_sql(1e-6, 0.2, 250, 5, 0.5, 100)) + CHAIN_ROWS)
 def _(spark, d):
-    return chains(spark, d).select("chrom", *big("start", "end", "n_cpgs", "n_sig"), "dmr_type", *r6("mean_diff"))
+    return chain_rows(regions.chain_merge(sites(spark, d), "strict", combine=False))
+
+
+@query("chain_merge_default", with_(STORE, GROUPS, LR, SITES, chain_sql(1e-4, 0.1, 500, 3, 0.5, 50)) + CHAIN_ROWS)
+def _(spark, d):
+    return chain_rows(regions.chain_merge(sites(spark, d), "default", combine=False))
+
+
+@query("chain_merge_permissive", with_(STORE, GROUPS, LR, SITES, chain_sql(1e-4, 0.05, 1000, 3, 0.5, 50)) + CHAIN_ROWS)
+def _(spark, d):
+    return chain_rows(regions.chain_merge(sites(spark, d), "permissive", combine=False))
+
+
+@query("chain_merge_explicit", with_(STORE, GROUPS, LR, SITES, chain_sql(0.05, 0.05, 1000, 2, 0.5, 50)) + CHAIN_ROWS)
+def _(spark, d):
+    """What is given wins over the preset."""
+    return chain_rows(regions.chain_merge(sites(spark, d), "permissive", alpha=0.05, min_cpgs=2, combine=False))
 
 
 @query("chain_merge_full")
@@ -534,25 +625,39 @@ def _(spark, d):
     return regions.merge_adjacent_tiles(t, combine=False).select("chrom", *big("start", "end"), "dmr_type", *big("n_cpgs"), *r6("meth_diff"), *big("n_tiles"))
 
 
+@query("tile_calls", with_(STORE, TILES, TILE_GROUPS, LR) + f""", sites AS (SELECT lrs.chrom, lrs.pos, diff AS d, round({chi1_sql('lr')},9) AS p FROM lrs JOIN (SELECT chrom AS c, pos AS t FROM grp WHERE nc>=5) ON c=chrom AND t=pos), {BH}
+ SELECT chrom, pos AS start, round(p,6)+0.0 AS pvalue, round(q,6)+0.0 AS qvalue, CASE WHEN d>=0 THEN 'hyper' ELSE 'hypo' END AS dmr_type FROM bh WHERE q<0.05 AND abs(d)>=0.1""")
+def _(spark, d):
+    """The operator's own p values, cut to nine digits before the q values on both sides, and tiles unmerged."""
+    s = tiled(spark, d)
+    s = s.withColumn("pvalue", F.round(site_tests.reference_p(F.col("lr"), F.col("phi"), F.col("df_phi"), "chi2"), 9))
+    return regions.call_tiles(s, merge=False).select("chrom", *big("start"), *r6("pvalue", "qvalue"), "dmr_type")
+
+
 @query("tile_regions")
 def _(spark, d):
     return regions.tile_regions(store(spark, d), TREATED, CONTROLS)
 
 
-def dvc(spark, d):
+def dvc(spark, d, least=0.6):
+    """Sites with a flag; three samples against three have no statistic above 4."""
     b = site_tests.brown_forsythe(store(spark, d), TREATED, CONTROLS)
-    return b.withColumn("is_dvc", F.coalesce(F.round("f_stat", 4) > 4.0, F.lit(False)))
+    return b.withColumn("is_dvc", F.coalesce(F.round("f_stat", 4) > least, F.lit(False)))
 
 
-@query("variance_density", with_(STORE, BF) + """, s AS (SELECT chrom, pos, coalesce(round(CASE WHEN within>1e-15 THEN (na*(ma-g)*(ma-g)+nb*(mb-g)*(mb-g))/(within/(na+nb-2)) END,4)>4.0,false) AS dv, CASE WHEN va>0 AND vb>0 THEN sign(log2(va/vb)) END AS sg FROM w)
+@query("variance_density", with_(STORE, BF) + """, s AS (SELECT chrom, pos, coalesce(round(CASE WHEN within>1e-15 THEN (na*(ma-g)*(ma-g)+nb*(mb-g)*(mb-g))/(within/(na+nb-2)) END,4)>0.6,false) AS dv, CASE WHEN va>0 AND vb>0 THEN sign(log2(va/vb)) END AS sg FROM w)
  SELECT chrom, pos//1000*1000 AS start, count(*) AS n_cpgs, sum(dv::INT)::BIGINT AS n_dvc, CASE WHEN sum(sg) FILTER (dv)>0 THEN 'more_variable' WHEN sum(sg) FILTER (dv)<0 THEN 'less_variable' ELSE 'mixed' END AS direction FROM s GROUP BY ALL HAVING count(*)>=5""")
 def _(spark, d):
     return regions.variance_density(dvc(spark, d)).select("chrom", *big("start", "n_cpgs", "n_dvc"), "direction")
 
 
-@query("variance_regions")
+@query("variance_regions", with_(STORE, BF) + f""", s AS (SELECT chrom, pos, coalesce(round(CASE WHEN within>1e-15 THEN (na*(ma-g)*(ma-g)+nb*(mb-g)*(mb-g))/(within/(na+nb-2)) END,4)>0.6,false) AS dv FROM w),
+ t AS (SELECT chrom, pos//1000*1000 AS start, count(*)::DOUBLE AS n, sum(dv::INT)::DOUBLE AS k FROM s GROUP BY ALL HAVING count(*)>=5), r AS (SELECT avg(dv::INT) AS rate FROM s),
+ sites AS (SELECT chrom, start, n, k, CASE WHEN k<=0 THEN 1.0 ELSE {beta_sql('k', '(n-k+1)', 'rate')} END AS p FROM t, r), {BH}
+ SELECT chrom, start, n::BIGINT AS n_cpgs, k::BIGINT AS n_dvc, round(p,6)+0.0 AS pvalue, round(q,6)+0.0 AS qvalue FROM bh WHERE k>0""")
 def _(spark, d):
-    return regions.variance_regions(dvc(spark, d))
+    """Every tile with a variable site, so that no threshold hides one."""
+    return regions.variance_regions(dvc(spark, d), alpha=1.1).select("chrom", *big("start", "n_cpgs", "n_dvc"), *r6("pvalue", "qvalue"))
 
 
 @query("merge_intervals", with_(BED) + """, l AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM bed), i AS (SELECT *, sum(CASE WHEN r IS NULL OR s>r THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS id FROM l)
@@ -759,12 +864,18 @@ def _(spark, d):
     return reads.allele_counts(c, phased, 0).filter("m0 + u0 >= 2").select("chrom", *big("pos", "m0", "u0", "m1", "u1"))
 
 
-@query("allele_specific")
+@query("allele_specific", """WITH c AS (SELECT 'chr'||(l_orderkey%5+1) AS chrom, (l_orderkey%50)*4+(l_partkey%5) AS pos, CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS m, (l_orderkey//50)%2 AS h FROM lineitem),
+ g AS (SELECT chrom, pos, sum(CASE WHEN h=0 AND m=1 THEN 1 ELSE 0 END)::BIGINT AS m0, sum(CASE WHEN h=0 AND m=0 THEN 1 ELSE 0 END)::BIGINT AS u0, sum(CASE WHEN h=1 AND m=1 THEN 1 ELSE 0 END)::BIGINT AS m1, sum(CASE WHEN h=1 AND m=0 THEN 1 ELSE 0 END)::BIGINT AS u1 FROM c GROUP BY chrom, pos),
+ f AS (SELECT *, m0 AS a, m0+u0 AS ra, m0+m1 AS m, m1+u1 AS rb, m0+u0+m1+u1 AS n FROM g WHERE m0+u0>=1 AND m1+u1>=1), k AS (SELECT *, unnest(range(greatest(0, m-rb), least(ra, m)+1)) AS x FROM f),
+ lp AS (SELECT *, lgamma(ra+1)-lgamma(x+1)-lgamma(ra-x+1)+lgamma(rb+1)-lgamma(m-x+1)-lgamma(rb-m+x+1)-lgamma(n+1)+lgamma(m+1)+lgamma(n-m+1) AS l FROM k),
+ o AS (SELECT *, exp(l) AS pmf, max(CASE WHEN x=a THEN exp(l) END) OVER (PARTITION BY chrom, pos) AS po FROM lp)
+ SELECT chrom, pos, any_value(m0) AS m0, any_value(u0) AS u0, any_value(m1) AS m1, any_value(u1) AS u1, round(CASE WHEN any_value(m) IN (0, any_value(n)) THEN 1.0 ELSE least(1.0, sum(CASE WHEN pmf<=po*(1+1e-7)+1e-15 THEN pmf ELSE 0 END)) END, 6)+0.0 AS pvalue FROM o GROUP BY chrom, pos""")
 def _(spark, d):
+    """The haplotype of a read is that of its order's block of fifty."""
     c = _calls(spark, d)
-    snvs = spark.createDataFrame([(f"chr{i}", 1000, "A", "C") for i in range(1, 6)], "chrom string, pos int, ref string, alt string")
-    bases = c.select("sample", "read_id", "chrom").distinct().select("sample", "read_id", "chrom", F.lit(1000).alias("pos"), F.expr("if(cast(read_id as bigint) % 2 = 0, 'A', 'C')").alias("base"), F.lit("+").alias("strand"))
-    return reads.allele_specific(c, bases, snvs, 1)
+    snvs = spark.createDataFrame([(f"chr{i}", 1000, "A", "G") for i in range(1, 6)], "chrom string, pos int, ref string, alt string")
+    bases = c.select("sample", "read_id", "chrom").distinct().select("sample", "read_id", "chrom", F.lit(1000).alias("pos"), F.expr("if((cast(read_id as bigint) div 50) % 2 = 0, 'A', 'G')").alias("base"), F.lit("+").alias("strand"))
+    return reads.allele_specific(c, bases, snvs, 1).select("chrom", *big("pos", "m0", "u0", "m1", "u1"), *r6("pvalue"))
 
 
 # ---- plot data and exports --------------------------------------------------------------

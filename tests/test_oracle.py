@@ -8,7 +8,7 @@ import pytest
 from cpgspark.plans.queries import QUERIES, SQL
 
 TABLES = "lineitem part orders supplier events customer nation region".split()
-FAST = ["query_region", "query_regions", "filter_sites", "normalize_coverage", "merge_strands", "merge_pairs", "aggregate_regions", "intersect_sites", "site_lr", "site_welch", "newcombe_interval", "shrink_effects", "fdr_bh", "fdr_storey", "chain_merge", "sliding_windows", "merge_tiles", "diagnose_regions", "annotate_features", "annotate_islands", "coverage_uniformity", "sample_correlation_rank", "age_clock", "entropy", "gene_body_metaplot", "sites_bed", "site_fisher"]
+FAST = ["query_region", "query_regions", "filter_sites", "normalize_coverage", "merge_strands", "merge_pairs", "aggregate_regions", "intersect_sites", "site_lr", "site_welch", "newcombe_interval", "shrink_effects", "fdr_bh", "fdr_storey", "chain_merge", "sliding_windows", "merge_tiles", "diagnose_regions", "annotate_features", "annotate_islands", "coverage_uniformity", "sample_correlation_rank", "age_clock", "entropy", "gene_body_metaplot", "sites_bed", "site_fisher", "site_lr_p", "site_welch_p", "variance_test", "tile_calls", "fdr_two_stage", "fdr_by_chrom", "region_count_ratio", "chain_merge_strict", "chain_merge_default", "chain_merge_permissive", "chain_merge_explicit", "region_stats", "variance_regions", "allele_specific"]
 
 
 def rows(cols, values):

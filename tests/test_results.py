@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cpgspark.operators import fdr, permute, regions, site_tests
+from cpgspark.operators import fdr, permute, prep, regions, site_tests
 from cpgspark.plans.queries import ALL
 from cpgspark.sources import readers, results
 from cpgspark.sources.store import CONTROLS, TREATED, lineitem_store
@@ -68,3 +68,39 @@ def test_null_tiles_are_the_region_caller_on_each_shuffle(spark, data):
     seen = spark.createDataFrame([(float(p),) for p in (0.0, best.min(), best.max(), 1.0)], "pvalue double").coalesce(1)
     out = permute.tile_fdr(s, TREATED, CONTROLS, seen, n_perm=2, **how).toPandas()
     assert out.p_empirical.tolist() == pytest.approx([((best <= p + 1e-12).sum() + 1) / (used + 1) for p in out.pvalue])
+
+
+def test_commands(spark, tmp_path):
+    import numpy as np
+
+    from cpgspark.cli import main
+
+    rng = np.random.default_rng(4)
+    lines = ["sample_id,group,path,batch"]
+    for s in range(6):
+        rows = []
+        for i in range(120):
+            m = int(rng.binomial(30, 0.8 if i < 20 and s < 3 else 0.3))
+            rows.append(f"chr1\t{1 + 50 * i}\t{1 + 50 * i}\t0\t{m}\t{30 - m}\n")
+        (tmp_path / f"s{s}.cov").write_text("".join(rows))
+        lines.append(f"s{s},{'t' if s < 3 else 'c'},{tmp_path}/s{s}.cov,{'ab'[s % 2]}")
+    (tmp_path / "sheet.csv").write_text("\n".join(lines) + "\n")
+    at = lambda name: str(tmp_path / name)
+    groups = ["--case", "s0", "s1", "s2", "--control", "s3", "s4", "s5"]
+    main(["convert", at("sheet.csv"), at("store"), "--treatment", "t", "--control-group", "c"], spark)
+    main(["dmc", at("store"), at("sites"), *groups, "--power-stack"], spark)
+    main(["dmc", at("store"), at("glm"), *groups, "--sheet", at("sheet.csv"), "--covariates", "batch"], spark)
+    main(["dvc", at("store"), at("dvc"), *groups], spark)
+    sites = spark.read.parquet(at("sites"))
+    assert sites.filter("pos < 1000 and qvalue < 0.05").count() >= 18 and spark.read.parquet(at("dvc")).count() == 120
+    assert spark.read.parquet(at("glm")).filter("pos < 1000 and qvalue < 0.05").count() >= 15
+    for method, more in (("chain_merge", ["--preset", "default"]), ("chain_merge", ["--empirical", "--n-perm", "12"]), ("sliding_window", []), ("tile_based", ["--dispersion", "chrom"]), ("rule_segment", [])):
+        main(["dmr", at("store"), at(f"{method}{len(more)}"), *groups, "--method", method, *more], spark)
+        found = spark.read.parquet(at(f"{method}{len(more)}")).collect()
+        assert found and all(r["start"] < 1100 and r["dmr_type"] == "hyper" for r in found)
+    main(["report", at("store"), at("html"), "--sites", at("sites"), "--regions", at("chain_merge2")], spark)
+    text = "\n".join(r[0] for r in spark.read.text(at("html")).collect())
+    assert text.startswith("<!DOCTYPE html>") and text.count("<h2>") == 7 and "Best regions" in text
+    with pytest.raises(ValueError):
+        main(["dmr", at("store"), at("x"), *groups, "--method", "tile_based", "--preset", "strict"], spark)
+    assert [tuple(r) for r in prep.dropped_contigs(sites.selectExpr("'GL1' as chrom").limit(2)).collect()] == [("GL1", 2)]
