@@ -8,8 +8,16 @@ page after the other.  `tiff_pages` is that reader over a binary column: one
 row per page.
 
 A page's samples are decoded one strip or tile at a time; the memory is that of
-one page.  Media that are null give no row, media that cannot be read give one
-row with page -1 and the reason.  Rows are independent, so nothing is shuffled.
+one page.  Rows are independent, so nothing is shuffled.
+
+Defined cases: null media give no row; of media that cannot be read, the pages
+before the damage are given and then a row with page -1 and the reason.  No
+size that a file states is believed before it is checked against the file: tags
+must lie in it, a page must have exactly the strips or tiles that cover it, and
+none may be larger than its codec could have made it.  Null and empty texts are
+stored as one row of zeros; a very long text is several pages; repeated rows
+have equal results; columns not kept are ignored, kept ones may have any name
+but those of the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 _OLD_DEFLATE = 32946
 #: Bytes of a field type of the format, by its number.
@@ -230,25 +240,43 @@ def read_pages(media: bytes) -> Iterator[tuple[dict[int, list[int]], np.ndarray]
             if _WIDTH.get(kind, 1) * count > 4:
                 where = struct.unpack_from(order + "I", media, where)[0]
             letter = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}.get(kind)
+            if letter and where + _WIDTH[kind] * count > len(media):
+                raise ValueError(f"tag {tag} reaches beyond the file")
             if letter:
                 tags[tag] = list(struct.unpack_from(order + letter * count, media, where))
         yield tags, _samples(media, tags)
         at = struct.unpack_from(order + "I", media, at + 2 + 12 * n)[0]
 
 
+#: The most bytes that a byte of a codec's data can become.
+_GROWTH = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, _OLD_DEFLATE: 1032, LZW: 4096}
+
+
 def _samples(media: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     one = lambda tag, least: tags.get(tag, [least])[0]
     width, height, kind = tags[256][0], tags[257][0], one(259, NONE)
     if one(277, 1) != 1 or one(258, 8) != 8:
         raise ValueError("only one 8-bit sample per pixel is supported")
+    if kind not in _GROWTH or one(317, 1) not in (1, 2):
+        raise ValueError(f"compression {kind} with predictor {one(317, 1)} is not supported")
     undo = one(317, 1) == 2
     tile = tags.get(322)
     across, rows = (tile[0], tags[323][0]) if tile else (width, min(one(278, height), height))
-    image = np.empty((height, width), np.uint8)
+    if min(width, height, across, rows) < 1:
+        raise ValueError("a page, strip or tile without samples")
     per_row = -(-width // across)
-    for k, (start, n) in enumerate(zip(tags[324 if tile else 273], tags[325 if tile else 279])):
+    parts = per_row * -(-height // rows)
+    starts, sizes = tags[324 if tile else 273], tags[325 if tile else 279]
+    if len(starts) != parts or len(sizes) != parts:
+        raise ValueError(f"{len(starts)} and {len(sizes)} entries for {parts} strips or tiles")
+    high = lambda r: rows if tile else min(rows, height - r)
+    for k, (start, n) in enumerate(zip(starts, sizes)):
+        if start + n > len(media) or high(k // per_row * rows) * across > n * _GROWTH[kind] + 4096:
+            raise ValueError(f"part {k} is beyond the file or too small for its samples")
+    image = np.empty((height, width), np.uint8)
+    for k, (start, n) in enumerate(zip(starts, sizes)):
         r, c = k // per_row * rows, k % per_row * across
-        have = rows if tile else min(rows, height - r)
+        have = high(r)
         raw = _expand(kind, media[start : start + n], have * across)
         if len(raw) != have * across:
             raise ValueError(f"part {k} is short")
@@ -270,43 +298,58 @@ def average_hash(image: np.ndarray) -> str:
     return f"{np.packbits(bits).tobytes().hex()}-{int(image.sum(dtype=np.int64)) * 1000 // image.size}"
 
 
-PAGES = "page int, width int, height int, compression int, n_bytes long, sha256 string, tail_crc32 long, feature string, error string"
+PAGES = "page int, width int, height int, compression int, n_bytes long, sha256 string, tail_crc32 long, feature string, last boolean, so_far_bytes long, so_far_sha256 string, so_far_feature string, error string"
+_PAGE_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+
+def _page_rows(media: bytes, tail: int) -> list[tuple]:
+    rows: list[tuple] = []
+    size, total, whole, mark = 0, 0, hashlib.sha256(), ""
+    try:
+        for p, (tags, image) in enumerate(read_pages(media)):
+            raw, feature = image.tobytes(), average_hash(image)
+            whole.update(raw)
+            size, total, mark = size + len(raw), total + int(image.sum(dtype=np.int64)), mark or feature.partition("-")[0]
+            rows.append((p, image.shape[1], image.shape[0], tags.get(259, [NONE])[0], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-tail:]), feature, False, size, whole.copy().hexdigest(), f"{mark}-{total * 1000 // size}", None))
+        if rows:
+            rows[-1] = (*rows[-1][:8], True, *rows[-1][9:])
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as bad:
+        rows.append((-1, *[None] * 11, f"{type(bad).__name__}: {bad}"))
+    return rows
 
 
 def tiff_pages(df: DataFrame, media: str, keep: tuple[str, ...], tail: int = ROW) -> DataFrame:
-    """One row per page: the `keep` columns, size, digest and features of the decoded samples."""
+    """One row per page: the `keep` columns, size, digest and features of the decoded samples.
+
+    `so_far_...` is the same of this page and all before it in the file; `last`
+    marks the last page of a file that could be read to its end.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             took: list[int] = []
             rows: list[tuple] = []
             for i, m in enumerate(b.column(b.num_columns - 1)):
-                m = m.as_py()
-                if m is None:
-                    continue
-                try:
-                    for p, (tags, image) in enumerate(read_pages(m)):
-                        raw = image.tobytes()
-                        took.append(i)
-                        rows.append((p, image.shape[1], image.shape[0], tags.get(259, [NONE])[0], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-tail:]), average_hash(image), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as bad:
-                    took.append(i)
-                    rows.append((-1, None, None, None, None, None, None, None, f"{type(bad).__name__}: {bad}"))
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+                if m.is_valid:
+                    found = _page_rows(m.as_py(), tail)
+                    took += [i] * len(found)
+                    rows += found
             kept = [c.take(pa.array(took, pa.int64())) for c in b.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 9, kinds))], names=[*b.schema.names[:-1], *(x.split()[0] for x in PAGES.split(", "))])
+            columns = zip(*rows) if rows else [()] * len(_PAGE_KINDS)
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, k) for v, k in zip(columns, _PAGE_KINDS))], names=[*b.schema.names[:-1], *(x.split()[0] for x in PAGES.split(", "))])
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-    return df.select(*keep, F.col(media).alias("_media")).mapInArrow(decode, ", ".join([*kept, PAGES]))
+    return df.select(*keep, F.col(media).alias(unused(keep, "_media")[0])).mapInArrow(decode, ", ".join([*kept, PAGES]))
 
 
-#: How the stored form is made, by crc32 of the payload modulo 16: (compression, predictor, tiled).
-#: Deflate is the rule; one text in 16 goes the slow way of LZW, whose codes Python reads one by one.
-FORMS = [(LZW, True, False)] + 5 * [(PACKBITS, False, False)] + 6 * [(DEFLATE, False, False)] + 2 * [(DEFLATE, True, False)] + 2 * [(DEFLATE, False, True)]
+#: How the stored form is made, dealt evenly by crc32 of the payload: (compression, predictor, tiled, big-endian).
+FORMS = [(kind, predictor, tiled, big) for kind in (NONE, PACKBITS, LZW, DEFLATE) for predictor in (False, True) for tiled in (False, True) for big in (False, True)]
+#: Bytes of a page; a longer payload has several.
+PAGE_BYTES = 64 << 10
 
 
 def text_to_tiff(df: DataFrame, text: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns, the text's bytes counted, and a TIFF that holds them, padded with zeros to rows of 64.
+    """The `keep` columns, the text's bytes counted, and a TIFF that holds them in pages, padded with zeros to rows of 64.
 
     Null texts count as empty; an empty text is one row of zeros.  Equal texts
     get equal media, whatever else is in their rows.
@@ -320,19 +363,20 @@ def text_to_tiff(df: DataFrame, text: str, keep: tuple[str, ...] = ("doc_id",))
                 for t in column.slice(i, 256).cast(pa.large_string()).to_pylist():
                     raw = (t or "").encode()
                     payload = raw.ljust(max(ROW, -(-len(raw) // ROW) * ROW), b"\0")
-                    kind, predictor, tiled = FORMS[zlib.crc32(payload) % len(FORMS)]
+                    kind, predictor, tiled, big = FORMS[zlib.crc32(payload) % len(FORMS)]
+                    pages = [payload[k : k + PAGE_BYTES] for k in range(0, len(payload), PAGE_BYTES)]
                     sizes.append(len(raw))
-                    media.append(encode_tiff([payload], kind, predictor, tiled))
+                    media.append(encode_tiff(pages, kind, predictor, tiled, big=big))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in b.columns[:-1]), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*b.schema.names[:-1], "n_text", "media"])
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(encode, ", ".join([*kept, "n_text long, media binary"]))
+    return df.select(*keep, F.col(text).alias(unused(keep, "_text")[0])).mapInArrow(encode, ", ".join([*kept, "n_text long, media binary"]))
 
 
 def op1_media_tiff(spark, sf_dir: str) -> DataFrame:
-    """Every whole document stored as a TIFF page and read back."""
+    """Every whole document stored as the pages of a TIFF and read back: one row per document, that of its last page."""
     from .common import table
 
     stored = text_to_tiff(table(spark, sf_dir, "documents"), "text").select("doc_id", "n_text", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    pages = tiff_pages(stored, "media", ("doc_id", "n_text", "media_bytes", "media_sha256"))
-    return pages.select("doc_id", F.col("n_text").alias("n_bytes"), F.col("n_bytes").alias("payload_bytes"), F.col("sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "page", "compression")
+    pages = tiff_pages(stored, "media", ("doc_id", "n_text", "media_bytes", "media_sha256")).filter("last or page < 0")
+    return pages.select("doc_id", F.col("n_text").alias("n_bytes"), F.col("so_far_bytes").alias("payload_bytes"), F.col("so_far_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", F.col("so_far_feature").alias("feature"), "page", "compression")
