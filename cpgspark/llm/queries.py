@@ -9,7 +9,7 @@ from .decontaminate import OP5_SQL, op5_decontaminate
 from .jaccard import op2_jaccard_join
 from .language_model import op8_context_tree
 from .quality import op10_quality
-from .shard import op9_shard
+from .shard import OP9_SQL, op9_shard
 from .tiff import op1_media_tiff
 from .warc import op6_warc
 
@@ -28,6 +28,7 @@ QUERIES = {
 
 SQL = {
     "op5_decontaminate": OP5_SQL,
+    "op9_shard": OP9_SQL,
     "op6_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
