@@ -6,7 +6,9 @@ zeros and ones in the training texts and their Krichevsky-Trofimov estimate;
 a node's weighted probability is the mean of its own estimate and the product of
 its children's weighted probabilities.  A decision's probability is the mixture
 over all depths that these weights give, and a text's score the sum over its
-bytes and one end symbol.
+bytes and one end symbol.  The end, and what is before a text's start, is the
+byte 0xFF: UTF-8 never has it, so it is a symbol of its own, and no text can
+share a context with a text's start.
 
 How it is distributed: documents are dealt into blocks of bounded bytes by a
 hash.  A block sends each distinct (context, byte) and each distinct word once,
@@ -18,7 +20,9 @@ is broadcast or gathered, and no row leaves a block but packed keys.
 
 Defined cases: null and empty texts are the end symbol alone; repeated rows have
 equal results, and each counts in training; a null id counts as the empty text
-where training rows are chosen; other columns are ignored.
+where training rows are chosen; other columns are ignored, whatever their names.
+An empty table gives an empty table.  Of a text longer than `PIECE` the keys are
+made at once (some 60 bytes for each of its bytes); a block holds whole texts.
 """
 
 from __future__ import annotations
@@ -31,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, materialize
+from .common import crc_of_id, materialize, spread_keys
 from .textkernel import mix, row_blocks, text_buffers, words_by_row
 
-#: Context bytes; bytes of text in a block and in one kernel call.
+#: Context bytes by default; bytes of text in a block and in one kernel call.
 DEPTH, BLOCK, PIECE = 5, 24 << 20, 1 << 20
 #: Keys that a block gathers before it merges them.
 MERGE_AT = 1_000_000
 _U = np.uint64
+#: The end of a text and all that is before its start.
+EDGE = 0xFF
 _END = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)  # the end as a word
 GRAM, WORD = 0, 1
 
@@ -185,7 +191,7 @@ def gram_keys(offsets: np.ndarray, raw: np.ndarray, depth: int = DEPTH) -> np.nd
     """A key for every byte of every row and its end, row after row."""
     n = np.diff(offsets)
     rows = len(n)
-    wide = np.zeros(len(raw) + rows * (depth + 1), np.uint8)
+    wide = np.full(len(raw) + rows * (depth + 1), EDGE, np.uint8)
     place = np.ones(len(wide), bool)
     starts = offsets[:-1] + np.arange(rows) * (depth + 1)
     pad = (starts[:, None] + np.arange(depth)).reshape(-1)
@@ -232,14 +238,14 @@ def _unpack(raw: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, np.uint64, n, 8), dtype=np.uint64), np.frombuffer(raw, kind, n, 8 + 8 * n)
 
 
-def _owner(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
-    return (mix(keys >> _U(8 * (DEPTH - 1)) if kind == GRAM else keys) % _U(shards)).astype(np.int64)
+def _owner(keys: np.ndarray, kind: int, shards: int, depth: int) -> np.ndarray:
+    return (mix(keys >> _U(8 * (depth - 1)) if kind == GRAM else keys) % _U(shards)).astype(np.int64)
 
 
 # ---- the query -------------------------------------------------------------
 
 
-def _ask(shards: int):
+def _ask(shards: int, depth: int, names: list[int]):
     def ask(table: pa.Table) -> pa.Table:
         held = table.column("held").to_numpy()
         parts = {GRAM: ([], []), WORD: ([], [])}
@@ -255,7 +261,7 @@ def _ask(shards: int):
 
         for i, j, offsets, raw in _pieces(table):
             train = ~held[i:j]
-            add(GRAM, gram_keys(offsets, raw), np.repeat(train, np.diff(offsets) + 1))
+            add(GRAM, gram_keys(offsets, raw, depth), np.repeat(train, np.diff(offsets) + 1))
             bounds, words = words_by_row(offsets, raw)
             add(WORD, words, np.repeat(train, np.diff(bounds)))
         parts[WORD][0].append(_END)
@@ -263,13 +269,13 @@ def _ask(shards: int):
         rows = []
         for kind, (keys, counts) in parts.items():
             k, c = _merge(keys, counts)
-            owner = _owner(k, kind, shards)
+            owner = _owner(k, kind, shards, depth)
             order = np.argsort(owner, kind="stable")
             cuts = np.searchsorted(owner[order], np.arange(shards + 1))
             for s in range(shards):
                 mine = order[cuts[s] : cuts[s + 1]]
                 if len(mine):
-                    rows.append({"kind": kind, "shard": s, "block": table.column("block")[0].as_py(), "asked": _pack(k[mine], c[mine])})
+                    rows.append({"kind": kind, "shard": names[kind * shards + s], "block": table.column("block")[0].as_py(), "asked": _pack(k[mine], c[mine])})
         return pa.Table.from_pylist(rows, pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("asked", pa.binary())]))
 
     return ask
@@ -281,37 +287,41 @@ def _gather(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return [k for k, _ in asked], keys, counts
 
 
-def _stats(table: pa.Table) -> pa.Table:
+def _stats(depth: int):
     """Of a shard: sums for the nodes of depth 1 (id, zeros, ones, children), or for id -1 its words: (distinct, all)."""
-    _, keys, counts = _gather(table)
-    if table.column("kind")[0].as_py() == WORD:
-        out = [[-1], [int((counts > 0).sum())], [int(counts.sum())], [0.0]]
-    else:
-        tree = Subtrees(keys, counts, 2)
-        e = tree.entries[2]
-        sums = np.zeros((3, TOP_NODES))
-        for j in range(8):
-            level = tree.levels[2, j]
-            ids = _top_ids(e[level.first] >> _U(16), j, e[level.first] & _U(255))
-            for row, values in zip(sums, (level.zeros, level.ones, level.log_w)):
-                row += np.bincount(ids, weights=values, minlength=TOP_NODES)
-        ids = np.flatnonzero(sums[0] + sums[1])
-        out = [ids, sums[0][ids].astype(np.int64), sums[1][ids].astype(np.int64), sums[2][ids]]
-    return pa.table({n: pa.array(v, t) for n, v, t in zip(("id", "zeros", "ones", "children"), out, (pa.int32(), pa.int64(), pa.int64(), pa.float64()))})
 
+    def stats(table: pa.Table) -> pa.Table:
+        _, keys, counts = _gather(table)
+        if table.column("kind")[0].as_py() == WORD:
+            out = [[-1], [int((counts > 0).sum())], [int(counts.sum())], [0.0]]
+        else:
+            tree = Subtrees(keys, counts, 2, depth)
+            e = tree.entries[2]
+            sums = np.zeros((3, TOP_NODES))
+            for j in range(8):
+                level = tree.levels[2, j]
+                ids = _top_ids(e[level.first] >> _U(16), j, e[level.first] & _U(255))
+                for row, values in zip(sums, (level.zeros, level.ones, level.log_w)):
+                    row += np.bincount(ids, weights=values, minlength=TOP_NODES)
+            ids = np.flatnonzero(sums[0] + sums[1])
+            out = [ids, sums[0][ids].astype(np.int64), sums[1][ids].astype(np.int64), sums[2][ids]]
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("id", "zeros", "ones", "children"), out, (pa.int32(), pa.int64(), pa.int64(), pa.float64()))})
+
+    return stats
 
-def _answer(top):
+
+def _answer(top, depth: int):
     def answer(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         asked, keys, counts = _gather(table)
-        values = counts.astype(np.float64) if kind == WORD else top.value.log10(keys, Subtrees(keys, counts, 2).predict())
+        values = counts.astype(np.float64) if kind == WORD else top.value.log10(keys, Subtrees(keys, counts, 2, depth).predict(), depth)
         packed = [_pack(k, values[np.searchsorted(keys, k)]) for k in asked]
         return pa.table({"kind": table.column("kind"), "block": table.column("block"), "answer": pa.array(packed, pa.binary())})
 
     return answer
 
 
-def _score(train_tokens: int, distinct: int):
+def _score(train_tokens: int, distinct: int, depth: int):
     base = math.log10(train_tokens + distinct + 1)
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -325,12 +335,13 @@ def _score(train_tokens: int, distinct: int):
 
         def values(kind: int, keys: np.ndarray) -> np.ndarray:
             k, v = found[kind]
-            return v[np.searchsorted(k, keys)]
+            distinct, at = np.unique(keys, return_inverse=True)  # sorted lookups stay in the cache
+            return v[np.searchsorted(k, distinct)][at]
 
         end = values(WORD, _END)[0]
         n, known, base_score, total = [], [], [], []
         for _, _, offsets, raw in _pieces(docs):
-            log_p = np.concatenate(([0.0], np.cumsum(values(GRAM, gram_keys(offsets, raw)))))
+            log_p = np.concatenate(([0.0], np.cumsum(values(GRAM, gram_keys(offsets, raw, depth)))))
             ends = offsets + np.arange(len(offsets))
             total.append(log_p[ends[1:]] - log_p[ends[:-1]])
             bounds, words = words_by_row(offsets, raw)
@@ -350,17 +361,26 @@ def _score(train_tokens: int, distinct: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def score_texts(df: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of every row under the model of the rows that aren't held out; code length per byte is -score / n_bytes / log10(2)."""
+def score_texts(df: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """Scores of every row under the model of the rows that aren't held out; code length per byte is -score / n_bytes / log10(2).
+
+    `depth` is the number of context bytes, from 2 to 7.
+    """
+    if not 2 <= depth <= 7:
+        raise ValueError("the depth is from 2 to 7: a key has 64 bits")
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-size // BLOCK))
     shards = max(spark.sparkContext.defaultParallelism * 2, blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).cast("int"))
-    asked = materialize(rows.groupBy("block").applyInArrow(_ask(shards), "kind int, shard int, block int, asked binary"), "asked")
-    by_shard = asked.groupBy("kind", "shard")
-    stats = by_shard.applyInArrow(_stats, "id int, zeros long, ones long, children double")
+    # as many partitions as blocks and shards, under names that part them: no task has two
+    number = F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).cast("int")
+    if blocks <= 4096:
+        number = F.element_at(F.array(*map(F.lit, spread_keys(spark, blocks))), number + 1)
+    rows = rows.withColumn("block", number).repartition(blocks, "block")
+    asked = materialize(rows.groupBy("block").applyInArrow(_ask(shards, depth, spread_keys(spark, 2 * shards)), "kind int, shard int, block int, asked binary"), "asked")
+    by_shard = asked.repartition(2 * shards, "shard").groupBy("shard")
+    stats = by_shard.applyInArrow(_stats(depth), "id int, zeros long, ones long, children double")
     sums = stats.groupBy("id").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children")).collect()  # TOP_NODES rows at most
     zeros, ones, children = np.zeros(TOP_NODES), np.zeros(TOP_NODES), np.zeros(TOP_NODES)
     distinct = train = 0
@@ -370,8 +390,8 @@ def score_texts(df: DataFrame, held_out, doc_id: str = "doc_id", text: str = "te
         else:
             zeros[r["id"]], ones[r["id"]], children[r["id"]] = r["zeros"], r["ones"], r["children"]
     top = spark.sparkContext.broadcast(Top(zeros, ones, children))
-    answers = materialize(by_shard.applyInArrow(_answer(top), "kind int, block int, answer binary"), "answers")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(train, distinct), SCORES)
+    answers = materialize(by_shard.applyInArrow(_answer(top, depth), "kind int, block int, answer binary"), "answers")
+    return rows.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_score(train, distinct, depth), SCORES)
 
 
 def op8_context_tree(spark, sf_dir: str) -> DataFrame:

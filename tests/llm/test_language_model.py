@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cpgspark.llm import language_model as lm
 
-TEXTS = [(1, "the cat sat on the mat"), (2, "a cat the hat"), (9, ""), (10, None), (3, "the mat\x00\xe9 sat"), (4, "zzz"), (4, "zzz"), (None, "on the")]
+TEXTS = [(1, "the cat sat on the mat"), (2, "a cat the hat"), (9, ""), (10, None), (12, "\x00"), (13, "\x00\x00 the"), (3, "the mat\x00\xe9 sat"), (4, "zzz"), (4, "zzz"), (None, "on the")]
 
 
 def direct(texts, train, depth):
@@ -18,7 +18,7 @@ def direct(texts, train, depth):
     counts = defaultdict(lambda: [0, 0])
 
     def events(text):
-        raw = b"\0" * depth + text.encode() + b"\0"
+        raw = b"\xff" * depth + text.encode() + b"\xff"
         for i in range(depth, len(raw)):
             context = raw[i - depth : i][::-1]
             for j in range(8):
@@ -55,13 +55,14 @@ def direct(texts, train, depth):
     return [sum(math.log10(p(c, 0, b, bit)) for c, b, bit in events(t)) for t in texts]
 
 
-def test_scores_equal_the_direct_recursion(spark):
-    df = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("score", F.lit(1))
+@pytest.mark.parametrize("depth", [2, lm.DEPTH, 7])
+def test_scores_equal_the_direct_recursion(spark, depth):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumns({"score": F.lit(1), "block": F.lit("b"), "held": F.lit(None), "t": F.lit(2)})
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    got = sorted(lm.score_texts(df, held).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["score"]))
+    got = sorted(lm.score_texts(df, held, depth=depth).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["score"]))
     rows = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0]))
     train = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for i, _ in rows]
-    want = direct([t or "" for _, t in rows], train, lm.DEPTH)
+    want = direct([t or "" for _, t in rows], train, depth)
     assert [r["doc_id"] for r in got] == [i for i, _ in rows]
     assert [r["score"] for r in got] == pytest.approx(want, rel=1e-9)
     tokens = [(t or "").lower().split() for _, t in rows]
@@ -79,3 +80,20 @@ def test_scores_equal_the_direct_recursion(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_texts(df, F.lit(False)).count() == 0
+
+
+def test_depths_that_a_key_has_no_room_for(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    for depth in (1, 8):
+        with pytest.raises(ValueError):
+            lm.score_texts(df, F.lit(False), depth=depth)
+
+
+def test_names_of_blocks_part_them(spark):
+    from cpgspark.llm.common import spread_keys
+
+    for n in (1, 7, 50):
+        keys = spread_keys(spark, n)
+        df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(n, "k")
+        assert len({*keys}) == n and sorted(len(p) for p in df.rdd.glom().collect()) == [1] * n
+    assert spread_keys(spark, 5, 4) == [0, 1, 2, 3, 4]
