@@ -16,7 +16,8 @@ benchmark shingles is broadcast only when its counted rows are below
 Defined cases: a null text has no words; rows of equal id and text have equal
 results, and a null id is an id like another; an item without words hits
 nothing; an item without an id hits words but isn't listed; other columns of
-both tables are ignored.
+both tables are ignored; a very long text is one row's array of words; without
+items nothing is hit, and without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -48,20 +49,26 @@ def _tail(words: str, k: int) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """Distinct windows: wid, len, words, items."""
+    """Distinct item, len, words and wid (the hash of the words) of all windows."""
     w = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     w = w.withColumn("len", F.least(F.lit(window), F.col("n"))).select("item", "len", "words", F.explode(F.expr("sequence(0, n - len)")).alias("at"))
-    w = w.select("item", "len", F.expr("slice(words, at + 1, len)").alias("words"))
-    return w.groupBy("words", "len").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("wid", F.xxhash64(F.concat_ws(" ", "words")))
+    return w.select("item", "len", F.expr("slice(words, at + 1, len)").alias("words")).distinct().withColumn("wid", F.xxhash64(F.concat_ws(" ", "words")))
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits).
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, classes).
 
     rows: doc_id, key (digest of the text) and n_words of every document row;
-    hits: doc_id, key, start, len and items of every verified occurrence.
+    hits: doc_id, key, start, len and cid of every verified occurrence; classes:
+    cid and item.  Windows of the same items are one class, so that a window of
+    many items costs a document one row until its items are listed once.
     """
-    windows = materialize(item_windows(items, item_id, item_text, window), "windows")
+    occurring = materialize(item_windows(items, item_id, item_text, window), "occurring")
+    hashed = [F.count("item"), F.sum(F.xxhash64("item").cast("decimal(20,0)")), F.bit_xor(F.when(F.col("item").isNotNull(), F.xxhash64("item", F.lit(1))))]
+    windows = occurring.groupBy("words", "len", "wid").agg(*(c.alias(f"c{i}") for i, c in enumerate(hashed)))
+    windows = materialize(windows.select("words", "len", "wid", F.xxhash64("c0", F.col("c1").cast("string"), "c2").alias("cid")), "windows")
+    of_class = windows.groupBy("cid").agg(F.min("wid").alias("wid"))
+    classes = occurring.filter("item is not null").join(of_class, "wid").select("cid", "item").distinct()
     # tokens of a window: shingles of `WIDTH` words, or all its words where it has fewer
     tokens = windows.select("wid", "len", "words", F.least(F.lit(WIDTH), F.col("len")).alias("width"))
     tokens = tokens.select("wid", "len", "width", "words", F.explode(F.expr("sequence(0, len - width)")).alias("offset"))
@@ -109,16 +116,16 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     there = at.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("pos").alias("p"), F.col("sid").alias("s"))
     met = wanted.join(there, (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p")) & (F.col("sid") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")))
     hits = met.groupBy("doc_id", "key", "start", "wid", "len", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
-    hits = hits.join(near(windows.select("wid", "items")), "wid").select("doc_id", "key", "start", "len", "items")
-    return rows, hits
+    hits = hits.join(near(windows.select("wid", "cid")), "wid").select("doc_id", "key", "start", "len", "cid")
+    return rows, hits, classes
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     """doc_id, key, n_words, n_hit, n_items, items_sha256 and contaminated of every document row."""
-    rows, hits = contamination(docs, items, **names)
+    rows, hits, classes = contamination(docs, items, **names)
     hits = materialize(hits, "hits")
     words = hits.select("doc_id", "key", F.explode(F.expr("sequence(start, start + len - 1)")).alias("pos")).distinct().groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = hits.select("doc_id", "key", F.explode("items").alias("item")).distinct().groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("item"))).cast("binary"), 256).alias("items_sha256"))
+    named = hits.select("doc_id", "key", "cid").distinct().join(classes, "cid").select("doc_id", "key", "item").distinct().groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("item"))).cast("binary"), 256).alias("items_sha256"))
     both = words.withColumnsRenamed({"doc_id": "d", "key": "k"}).join(named.withColumnsRenamed({"doc_id": "e", "key": "l"}), (F.col("k") == F.col("l")) & F.col("d").eqNullSafe(F.col("e")), "left").select("d", "k", "n_hit", "n_items", "items_sha256")
     out = rows.join(both, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return out.select(
