@@ -11,7 +11,11 @@ Labels, language, source and id are no features.  Null texts count as empty;
 an empty text has no feature and gets the score of a margin of the bias alone.
 Without labelled rows of both classes every score is the share of good labels
 (0.5 without any).  Several labels of an id count as their mean, from 0.5 on as
-good; null labels and labels without an id are left out.
+good; null labels and labels without an id are left out.  Rows of equal id and
+text count each in the class counts and, as each may be drawn, in the fit.  An
+empty table of documents gives an empty table; columns are passed through or
+ignored, whatever their names.  A very long text is one row like another: its
+trigrams are made in memory at once, some 30 bytes for each byte.
 """
 
 from __future__ import annotations
@@ -25,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, unused
 from .language_model import gram_keys
 from .textkernel import give_back, mix, row_blocks, text_buffers
 
 BITS, PIECE = 17, 512 << 10
-#: The most rows that the linear model is fitted on; rows are chosen by a hash of the id.
+#: The most rows that the linear model is fitted on: those with the least hashes of id and text.
 FIT_ROWS = 8192
 #: Labels up to this number (16 bytes each) are broadcast, more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = 500_000
 SMOOTH, COST, EPOCHS = 1.0, 1.0, 12
 _SHIFT = np.uint64(64 - BITS)
 
@@ -112,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, doc_id: str = "doc_id",
     n = known.count()
     if n <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    rows = docs.filter(may_learn).select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(known, "id").select("y", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"), "t")
+    rows = docs.filter(may_learn).select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(known, "id").select("y", F.pmod(F.xxhash64("id", "t"), F.lit(1 << 40)).alias("h"), "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int64)
@@ -121,6 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, doc_id: str = "doc_id",
             for y, found in zip(b.column(0).to_pylist(), trigram_sets(b.column(2))):
                 total[y, found] += 1
                 docs_of[y] += 1
+        give_back()
         for y in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([int(docs_of[y])], pa.int64()), pa.array([zlib.compress(total[y].tobytes(), 1)], pa.binary())], names=["y", "docs", "counts"])
 
@@ -144,15 +149,20 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn, doc_id: str = "doc_id",
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), listed], names=["y", "h", "f"])
+        give_back()
 
-    share = min(1.0, fit_rows / sum(docs_of))
-    sample = rows.filter(F.col("h") < int(share * (1 << 20))).mapInArrow(features, "y int, h long, f array<int>").toArrow()  # fit_rows rows, but for chance
+    # a hash keeps few more than fit_rows, but for repeated rows; the limit keeps no more than that in any case
+    share = min(1.0, 1.2 * (fit_rows + 100) / sum(docs_of))
+    chosen = rows.filter(F.col("h") < int(share * (1 << 40))).orderBy("h", "y", F.xxhash64("t")).limit(fit_rows)
+    sample = chosen.mapInArrow(features, "y int, h long, f array<int>").toArrow().combine_chunks()
     order = np.argsort(sample.column("h").to_numpy(), kind="stable")
-    column = sample.column("f").to_pylist()
+    lists = sample.column("f")
+    lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
     y = np.where(sample.column("y").to_numpy()[order] > 0, 1.0, -1.0)
     data = []
     for r in order.tolist():
-        at = np.array(column[r], np.int64)
+        at = flat[ends[r] : ends[r + 1]]
         v = ratio[at]
         data.append((at, v / max(math.sqrt((v * v).sum()), 1e-12)))
     fit = [i for i in range(len(data)) if i % 5]
@@ -177,7 +187,7 @@ def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
         give_back()
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(score, ", ".join([*kept, f"`{names[0]}` double, `{names[1]}` int"]))
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias(unused(keep, "_text")[0])])).mapInArrow(score, ", ".join([*kept, f"`{names[0]}` double, `{names[1]}` int"]))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
