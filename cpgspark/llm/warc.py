@@ -8,6 +8,11 @@ the archive.
 
 Revisits: of pages with equal payloads of at least `REVISIT_BYTES`, that with
 the smallest page id is stored, the others refer to it.
+
+Defined cases: null payloads are empty; pages without an id are stored and never
+referred to; repeated rows of the page that others refer to are stored each; a
+very long payload is one record, held in memory once; other columns are ignored;
+an empty table gives no archive and no record.
 """
 
 from __future__ import annotations
@@ -20,7 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 REVISIT_BYTES = 100
+#: Payloads of more than this share of all pages are looked up by broadcast: there can't be more of them than its inverse.
+HOT_SHARE, HOT_LEAST = 1 / 100_000, 1000
 #: Bytes of one archive, and of what the reader inflates at once.
 ARCHIVE_BYTES, PIECE = 8 << 20, 64 << 10
 
@@ -108,8 +117,15 @@ def mark_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     # digests that a second page shares; the sums before the shuffle keep hot payloads small
-    first = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("payload_digest", "first")
-    rows = rows.join(first, "payload_digest", "left")
+    shared = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").select(F.col("payload_digest").alias("d"), "first", "n")
+    shared = materialize(shared, "shared")
+    hot = max(HOT_LEAST, pages.count() * HOT_SHARE)
+    often = shared.filter(F.col("n") >= hot).select(F.col("d").alias("hot_d"), F.col("first").alias("hot_first"))  # 1 / HOT_SHARE rows at most
+    rows = rows.join(F.broadcast(often), F.col("payload_digest") == F.col("hot_d"), "left")
+    # what has its answer, or none to look for, is spread over the tasks by a key that no digest equals
+    spread = F.col("hot_d").isNotNull() | (F.col("payload_bytes") < least)
+    key = F.when(spread, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("payload_digest"))
+    rows = rows.withColumn("k", key).join(shared.filter(F.col("n") < hot).select("d", "first"), F.col("k") == F.col("d"), "left").withColumn("first", F.coalesce("hot_first", "first"))
     again = F.col("first") < F.col("page_id")
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
