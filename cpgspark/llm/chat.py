@@ -14,7 +14,10 @@ conversation is, and a segment always ends between turns, where a control token
 keeps the encoding the same.
 
 Defined cases: null texts and roles are empty; null turns come first, equal
-turns go by role and text; rows with null conversation ids are one conversation.
+turns go by role and text; rows with null conversation ids are one conversation;
+repeated rows are turns each; other columns are ignored; an empty table gives an
+empty table.  Where the query plants conversation -1 and the table has one of
+that id, both are one conversation, in the order of turns.
 """
 
 from __future__ import annotations
@@ -117,13 +120,15 @@ def format_conversations(rows: DataFrame, tokenizer: str, learnt: str = "assista
         def out() -> pa.RecordBatch:
             encoded = model.encode_batch([d[2] for d in done], add_special_tokens=False)
             masks = [mask(np.array(e.offsets, np.int64).reshape(-1, 2), d[3]) for e, d in zip(encoded, done)]
+            ends = np.concatenate(([0], np.cumsum([len(m) for m, _ in masks]))).astype(np.int32)
+            listed = lambda parts, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), t))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([d[0] for d in done], pa.int64()),
                     pa.array([d[1] for d in done], pa.int32()),
                     pa.array([d[2] for d in done], pa.string()),
-                    pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
-                    pa.array([m.tolist() for m, _ in masks], pa.list_(pa.bool_())),
+                    listed([np.array(e.ids, np.int32) for e in encoded], pa.int32()),
+                    listed([m for m, _ in masks], pa.bool_()),
                     pa.array([[{"start": s, "stop": e} for s, e in x] for _, x in masks], _SPANS),
                 ],
                 names=["conv_id", "segment", "formatted", "ids", "loss", "spans"],
@@ -170,7 +175,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=[x.split()[0] for x in out.split(", ")])
 
         for b in batches:
-            for r in b.to_pylist():
+            lists = {c: b.column(b.schema.get_field_index(c)) for c in ("ids", "loss")}
+            n_ids = lists["ids"].value_lengths().to_pylist()
+            marked = np.concatenate(([0], np.cumsum(lists["loss"].flatten().to_numpy(zero_copy_only=False), dtype=np.int64)))
+            ends = np.concatenate(([0], np.cumsum(lists["loss"].value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            n_loss = np.diff(marked[ends]).tolist()
+            for i, r in enumerate(b.select(["conv_id", "segment", "formatted", "spans"]).to_pylist()):
                 if r["segment"] == 0:
                     if state:
                         close()
@@ -183,8 +193,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state[3] += len(text)
                     state[4].update(text.encode())
                 state[5] += len(r["formatted"])
-                state[6] += len(r["ids"])
-                state[7] += sum(r["loss"])
+                state[6] += n_ids[i]
+                state[7] += n_loss[i]
             if len(done) >= 1000:
                 yield batch()
                 done = []
