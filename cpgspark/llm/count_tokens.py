@@ -4,7 +4,12 @@ Texts are split where no piece of the vocabulary can reach across: in front of
 a run of spaces, after any other character.  That is safe when no piece has a
 space mark behind another character, which is checked on the vocabulary.  The
 splits bound the length of what is encoded at once, and since equal units have
-equal lengths, each distinct unit of a byte-balanced block is encoded once.
+equal lengths, each distinct unit of a byte-balanced block is encoded once.  A
+text without spaces has no safe place and is one unit, however long.
+
+Defined cases: null and empty texts have no tokens; repeated rows have equal
+results; other columns are ignored, whatever their names; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .textkernel import row_blocks, text_buffers
 
 #: Bytes of text in one call to the encoder.
@@ -91,7 +97,7 @@ def token_counts(df: DataFrame, text: str, path: str, limit: int = 4096, keep: t
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=[*b.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"])
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(count, ", ".join([*kept, "n_bytes long, n_tokens long, over_limit boolean"]))
+    return df.select(*keep, F.col(text).alias(unused(keep, "_text")[0])).mapInArrow(count, ", ".join([*kept, "n_bytes long, n_tokens long, over_limit boolean"]))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
