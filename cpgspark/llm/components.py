@@ -36,5 +36,5 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if state == before:
             break
         before = state
-        e = materialize(_small_star(_large_star(e)), "edges")
+        e = materialize(_small_star(_large_star(e)), "edges", instead_of=e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
