@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .textkernel import give_back, row_blocks, text_buffers
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Words and pieces remembered by a worker between blocks; then it starts anew, as with each task.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 
 _GAP = re.compile("[ \t\r\n]+")
 _HIGH = re.compile("[\u0300-\U0010ffff]")
@@ -255,7 +256,9 @@ def encode_column(df: DataFrame, text: str, path: str, keep: tuple[str, ...] = (
     """The `keep` columns with n_tokens and the ids and decoded text, as SHA-256 digests or (digests=False) themselves.
 
     Null and empty texts have no tokens and decode to the empty text.  Rows are
-    independent of one another, whatever is repeated or null in them.
+    independent of one another, whatever is repeated or null in them; other
+    columns are ignored, whatever their names; an empty table gives an empty
+    table.  A very long text is a block of its own, encoded whole.
     """
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
@@ -280,7 +283,7 @@ def encode_column(df: DataFrame, text: str, path: str, keep: tuple[str, ...] = (
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
     kinds = ["string", "string"] if digests else ["array<int>", "string"]
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(encode, ", ".join([*kept, "n_tokens long", *(f"{n} {t}" for n, t in zip(names, kinds))]))
+    return df.select(*keep, F.col(text).alias(unused(keep, "_text")[0])).mapInArrow(encode, ", ".join([*kept, "n_tokens long", *(f"{n} {t}" for n, t in zip(names, kinds))]))
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
