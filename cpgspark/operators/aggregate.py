@@ -30,6 +30,30 @@ def group_sums(samples: list[str], name: str) -> list[Column]:
     ]
 
 
+def listed_rows(samples: list[str]) -> Column:
+    """A site's covered rows as a list in the order of `samples`, of which i is the place; for listed_sums."""
+    n, m = F.col("coverage").cast("double"), F.col("N_meth").cast("double")
+    place = F.array_position(F.array(*map(F.lit, samples)), F.col("sample")).cast("int") - 1
+    row = F.struct(place.alias("i"), n.alias("n"), m.alias("m"), (m * m / n).alias("q"))
+    return F.sort_array(F.collect_list(F.when(F.col("coverage") > 0, row)))
+
+
+def listed_sums(rows: str, name: str, counts: str = "long") -> list[Column]:
+    """The sums of group_sums from a list of rows, without a grouping; n and m get the type `counts` (doubles are exact for all that stores hold)."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def of(field: str) -> Column:
+        return F.aggregate(F.col(rows), F.lit(0.0), lambda a, x: a + F.coalesce(x[field], F.lit(0.0)))
+
+    betas = F.filter(F.transform(F.col(rows), lambda x: x["m"] / x["n"]), lambda b: b.isNotNull())
+    k = F.size(betas)
+    mean = F.when(k > 0, total(betas) / k)
+    var = F.when(k > 1, total(F.transform(betas, lambda b: (b - mean) * (b - mean))) / (k - 1))
+    return [of("n").cast(counts).alias(f"n_{name}"), of("m").cast(counts).alias(f"m_{name}"), of("q").alias(f"q_{name}"), F.size(rows).cast("long").alias(f"k_{name}"), mean.alias(f"mean_{name}"), var.alias(f"var_{name}")]
+
+
 def site_groups(store: DataFrame, case: list[str], control: list[str], unite: str = "union", min_case: int | None = None, min_control: int = 0, keys: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
     """One row per site with both groups' sums, in one shuffle.
 

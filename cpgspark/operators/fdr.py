@@ -101,6 +101,9 @@ def adjust_by_chrom(rows: DataFrame, p: str = "pvalue", q: str = "qvalue") -> Da
 
 # ---- permutations ----------------------------------------------------------
 
+#: Relative difference up to which a statistic of shuffled labels equals the observed one.
+SAME = 1e-9
+
 
 def permutation(i: int, case: list[str], control: list[str], seed: int = 42, strata: dict[str, str] | None = None) -> list[str]:
     """The samples treated in permutation i, shuffled within strata if there are any."""
@@ -120,30 +123,45 @@ def is_mirror(chosen: list[str], case: list[str], control: list[str]) -> bool:
 
 
 def permuted_statistics(store: DataFrame, case: list[str], control: list[str], n_perm: int, seed: int = 42, strata: dict[str, str] | None = None, unite: str = "union", dispersion: str = "site") -> DataFrame:
-    """(perm, chrom, pos, lr, ...) of every permutation in one job: the permutation is a column of the grouping."""
-    from .aggregate import group_sums
+    """(perm, chrom, pos, lr, ...) of every permutation in one job.
+
+    The shuffle moves a row of the store once, however many permutations there
+    are: sites are grouped with the list of their rows, and each task makes the
+    sums of every assignment from that list.  Permutations that give the same
+    assignment share its sums.
+    """
+    from .aggregate import listed_rows, listed_sums
     from .site_tests import lr_statistic
 
-    chosen = [(i, permutation(i, case, control, seed, strata)) for i in range(n_perm)]
-    rows = store.filter(F.col("sample").isin([*case, *control]))
-    masks = F.array(*(F.struct(F.lit(i).alias("perm"), F.col("sample").isin(c).alias("t")) for i, c in chosen))
-    spread = rows.withColumn("_p", F.explode(masks)).select("chrom", "pos", "N_meth", "coverage", "_p.perm", F.when(F.col("_p.t"), "case").otherwise("ctrl").alias("sample"))
-    g = spread.groupBy("perm", "chrom", "pos").agg(*group_sums(["case"], "case"), *group_sums(["ctrl"], "ctrl"), F.count(F.lit(1)).alias("n_samples"))
+    everyone = [*case, *control]
+    perms: dict[tuple[str, ...], list[int]] = {}
+    for i in range(n_perm):
+        perms.setdefault(tuple(permutation(i, case, control, seed, strata)), []).append(i)
+    shuffles = F.array(*(F.struct(F.lit(k).alias("id"), F.array(*(F.lit(x in c) for x in everyone)).alias("t")) for k, c in enumerate(perms)))
+    sites = store.filter(F.col("sample").isin(everyone)).groupBy("chrom", "pos").agg(listed_rows(everyone).alias("_rows"), F.count(F.lit(1)).alias("n_samples"))
     if unite == "intersect":
-        g = g.filter(F.col("n_samples") == len(case) + len(control))
-    g = g.drop("n_samples")
+        sites = sites.filter(F.col("n_samples") == len(everyone))
+    spread = sites.select("chrom", "pos", "_rows", F.explode(shuffles).alias("_s"))
+    parted = spread.select("chrom", "pos", F.col("_s.id").alias("_id"), F.filter("_rows", lambda x: F.get("_s.t", x["i"])).alias("_case"), F.filter("_rows", lambda x: ~F.get("_s.t", x["i"])).alias("_ctrl"))
+    counts = "long" if {store.schema[c].dataType.typeName() for c in ("N_meth", "coverage")} <= {"byte", "short", "integer", "long"} else "double"  # smoothed counts are no whole numbers
+    g = parted.select("_id", "chrom", "pos", *listed_sums("_case", "case", counts), *listed_sums("_ctrl", "ctrl", counts))
     if dispersion == "site":
-        return lr_statistic(g, dispersion)
-    # the other modes pool chromosomes, each permutation's own
-    s = lr_statistic(g.withColumn("chrom", F.concat_ws("|", "perm", "chrom")), dispersion)
-    return s.withColumn("chrom", F.split("chrom", r"\|", 2)[1])
+        s = lr_statistic(g, dispersion)
+    else:  # the other modes pool chromosomes, each assignment's own
+        s = lr_statistic(g.withColumn("chrom", F.concat_ws("|", "_id", "chrom")), dispersion).withColumn("chrom", F.split("chrom", r"\|", 2)[1])
+    same = F.array(*(F.array(*map(F.lit, own)) for own in perms.values()))
+    return s.select(F.explode(F.get(same, F.col("_id"))).alias("perm"), *(c for c in s.columns if c != "_id"))
 
 
 def max_t_pvalues(observed: DataFrame, null_best: DataFrame, stat: str = "lr") -> DataFrame:
-    """Adds p_empirical = (permutations whose best statistic is at least the observed + 1) / (permutations + 1); null_best has a row per permutation."""
+    """Adds p_empirical = (permutations whose best statistic is at least the observed + 1) / (permutations + 1); null_best has a row per permutation.
+
+    Statistics that differ by the order of their sums only (SAME) are equal: the
+    labels and their mirror are among the shuffles.
+    """
     best = null_best.agg(F.sort_array(F.collect_list("best")).alias("_null"), F.count("best").alias("_n"))  # a value per permutation
     out = observed.crossJoin(F.broadcast(best))
-    k = F.size(F.filter("_null", lambda v: v >= F.col(stat)))
+    k = F.size(F.filter("_null", lambda v: v >= F.col(stat) * (1 - SAME)))
     return out.withColumn("p_empirical", F.when(F.col(stat).isNotNull(), (k + 1) / (F.col("_n") + 1))).drop("_null", "_n")
 
 
